@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import leximin, mixing, packing, stuffing, tokens
+from kelpline.llm import leximin, mixing, neighbours, packing, stuffing, tokens
 from kelpline.runtime import cut, table
 
 SCORES = ["recency", "relevance", "centrality", "git_activity"]
@@ -21,6 +21,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leximin.top_k(ranked, 5).select(F.col("q").alias("query_id"), F.col("item").alias("path"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = neighbours.clean_vectors(table(spark, sf_dir, "chunk_embeddings"), 64)
+    return neighbours.pairs_once(neighbours.most_similar(vectors, 64, k=5, least=0.9))
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -77,6 +82,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_ranking": p2_ranking,
+    "p7_found": p7_found,
     "p8_found": p8_found, "p8_pack": p8_pack, "p8_fill": p8_fill,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_scores": p10_scores,
