@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import leximin, mixing, neighbours, packing, stuffing, tokens
+from kelpline.llm import credentials, leximin, mixing, neighbours, packing, stuffing, tokens
 from kelpline.runtime import cut, table
 
 SCORES = ["recency", "relevance", "centrality", "git_activity"]
@@ -21,6 +21,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leximin.top_k(ranked, 5).select(F.col("q").alias("query_id"), F.col("item").alias("path"))
 
 
+_HOLDERS = [("chunk_embeddings", "id", "chunk_text"), ("search_hits", "hit_id", "content")]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [credentials.scan(table(spark, sf_dir, t), i, x).where("row_id is not null").select(F.lit(t).alias("found_in"), "row_id") for t, i, x in _HOLDERS]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [credentials.scan(table(spark, sf_dir, t), i, x, masked=True).select(F.lit(t).alias("found_in"), "row_id", "n_found", F.col("masked").alias("text")) for t, i, x in _HOLDERS]
+    return parts[0].unionByName(parts[1])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = neighbours.clean_vectors(table(spark, sf_dir, "chunk_embeddings"), 64)
     return neighbours.pairs_once(neighbours.most_similar(vectors, 64, k=5, least=0.9))
@@ -82,6 +95,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_ranking": p2_ranking,
+    "p4_found": p4_found, "p4_masked": p4_masked,
     "p7_found": p7_found,
     "p8_found": p8_found, "p8_pack": p8_pack, "p8_fill": p8_fill,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
