@@ -289,9 +289,12 @@ def scan(df: DataFrame, id_col: str, text_col: str, masked: bool = False) -> Dat
                 part, ids = texts[lo : lo + 2_000], b["row_id"].iloc[lo : lo + 2_000].reset_index(drop=True)
                 found = find_all(part)
                 keep = [k for k, f in enumerate(found) if masked or f]
-                rows = pd.DataFrame({"row_id": ids.iloc[keep], "n_found": [len(found[k]) for k in keep], "kinds": [",".join(sorted({s[2] for s in found[k]})) for k in keep]})
+                if not keep:
+                    continue
+                text = lambda values: pd.Series(values, dtype=object)
+                rows = pd.DataFrame({"row_id": ids.iloc[keep].array, "n_found": [len(found[k]) for k in keep], "kinds": text([",".join(sorted({s[2] for s in found[k]})) for k in keep])})
                 if masked:
-                    rows["masked"] = [None if part[k] is None else mask(part[k], found[k]) for k in keep]
+                    rows["masked"] = text([None if part[k] is None else mask(part[k], found[k]) for k in keep])
                 yield rows
 
     schema = "row_id bigint, n_found int, kinds string" + (", masked string" if masked else "")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import credentials, leximin, mixing, neighbours, packing, stuffing, tokens
+from kelpline.functions.paths import extension
+from kelpline.llm import credentials, leximin, mixing, neighbours, packing, provenance, stuffing, tokens
 from kelpline.runtime import cut, table
 
 SCORES = ["recency", "relevance", "centrality", "git_activity"]
@@ -21,6 +22,35 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leximin.top_k(ranked, 5).select(F.col("q").alias("query_id"), F.col("item").alias("path"))
 
 
+#: Language by extension, where the language column is null.
+BY_EXTENSION = {
+    "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "pyi": "python", "rb": "ruby", "go": "go", "java": "java",
+    "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "json": "json", "toml": "toml", "yaml": "yaml", "yml": "yaml", "md": "markdown", "markdown": "markdown",
+}
+CODE = ["rust", "typescript", "javascript", "python", "ruby", "go", "java", "c", "cpp"]
+
+
+def _language() -> Column:
+    known = F.create_map(*[F.lit(x) for kv in BY_EXTENSION.items() for x in kv])
+    return F.coalesce(F.lower(F.trim("language")), F.element_at(known, extension(F.col("path"))), F.lit("unknown"))
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, language, text): every indexed file with its content; one shuffle by file id."""
+    chunks = table(spark, sf_dir, "chunk_embeddings").where("file_id is not null and lower(trim(chunk_type)) = 'file'").groupBy("file_id").agg(F.min("chunk_text").alias("text"))
+    files = table(spark, sf_dir, "files").select(F.col("id").alias("file_id"), "path", _language().alias("lang"))
+    return files.join(chunks, "file_id").select("path", "lang", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = provenance.classify(_contents(spark, sf_dir), "path", "text", F.col("lang").isin(CODE))
+    return judged.where("origin <> 'hand'").select("path")
+
+
+def p6_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.classify(_contents(spark, sf_dir), "path", "text", F.col("lang").isin(CODE))
+
+
 _HOLDERS = [("chunk_embeddings", "id", "chunk_text"), ("search_hits", "hit_id", "content")]
 
 
@@ -96,6 +126,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_ranking": p2_ranking,
     "p4_found": p4_found, "p4_masked": p4_masked,
+    "p6_found": p6_found, "p6_origin": p6_origin,
     "p7_found": p7_found,
     "p8_found": p8_found, "p8_pack": p8_pack, "p8_fill": p8_fill,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
