@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions.paths import extension
-from kelpline.llm import credentials, leximin, mixing, neighbours, packing, provenance, stuffing, tokens
+from kelpline.llm import credentials, leximin, mixing, neighbours, packing, provenance, stuffing, syntax, tokens
 from kelpline.runtime import cut, table
 
 SCORES = ["recency", "relevance", "centrality", "git_activity"]
@@ -42,6 +42,22 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.join(chunks, "file_id").select("path", "lang", "text")
 
 
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.check_files(_contents(spark, sf_dir), "path", "lang", "text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).where("not valid").select("path")
+
+
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir)
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_rates(_checked(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = provenance.classify(_contents(spark, sf_dir), "path", "text", F.col("lang").isin(CODE))
     return judged.where("origin <> 'hand'").select("path")
@@ -125,6 +141,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_ranking": p2_ranking,
+    "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates,
     "p4_found": p4_found, "p4_masked": p4_masked,
     "p6_found": p6_found, "p6_origin": p6_origin,
     "p7_found": p7_found,
