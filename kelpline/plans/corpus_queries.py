@@ -40,7 +40,7 @@ tree0 AS (SELECT id FROM linked WHERE p IS NULL UNION ALL SELECT c.id FROM linke
 walk AS (SELECT id AS start, p AS here FROM linked WHERE p IS NOT NULL AND id NOT IN (SELECT id FROM tree0)
  UNION SELECT w.start, l.p FROM walk w JOIN linked l ON w.here = l.id WHERE w.here <> w.start),
 ring AS (SELECT DISTINCT start FROM walk WHERE start = here),
-least AS (SELECT w.start AS symbol_id, least(min(w.at), w.start) AS cycle_id FROM walk w JOIN ring r ON w.start = r.start GROUP BY w.start)"""
+least AS (SELECT w.start AS symbol_id, least(min(w.here), w.start) AS cycle_id FROM walk w JOIN ring r ON w.start = r.start GROUP BY w.start)"""
 
 ORACLE = {
     "p1_found": f"WITH RECURSIVE {_CYCLES} SELECT cycle_id, symbol_id FROM least",
