@@ -102,7 +102,7 @@ def signature_line(content: Column, start_line: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their terminators; a final terminator opens no further line."""
-    return F.transform(F.split(F.regexp_replace(text, r"\n$", ""), "\n"), lambda x: F.regexp_replace(x, r"\r$", ""))
+    return F.transform(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"), lambda x: F.regexp_replace(x, r"\r$", ""))
 
 
 def terms(text: Column) -> Column:
