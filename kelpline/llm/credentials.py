@@ -39,7 +39,7 @@ ANCHORS = {
     "url": ["://"],
     "bearer": ["bearer "],
     "basic": ["basic "],
-    "name": ["pass", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey", "auth_key", "authkey", "credential", "private_key", "client_key", "encryption_key", "signing_key", "account_key", "accountkey"],
+    "name": ["pass", "pwd", "secret", "token", "key", "auth", "credential"],
 }
 _W = r"(?<![A-Za-z0-9])"
 GRAMMAR = {
@@ -65,11 +65,13 @@ _QUERY = re.compile(r"[?&]([A-Za-z_][\w.-]*)=([^&\s\"'`<>#]+)")
 _SPLIT = re.compile(r"([\"'`])\s*\+\s*\1")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _CRED = frozenset("pass password passwd passphrase pwd secret token apikey authkey credential credentials accesskey accountkey".split())
-_KEY_OF = frozenset("api access secret auth private client account encryption signing".split())
+_KEY_OF = frozenset("api access secret auth private client account encryption signing hmac master deploy".split())
+_OPEN_KEYS = frozenset("public verify primary foreign sort partition cache idempotency row group unique routing cipher host known map object json".split())
 _NOT_A_VALUE = frozenset("path ref label hint help pattern regex name file id url uri type len length count hash digest checksum sum field header policy ttl expiry prompt title text placeholder doc docs index kind size limit env var version format rotation provider store manager vault role arn public".split())
 _PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|\.{3}|your|insert|example|change.?me|placeholder|replace|dummy|redacted|todo|fixme|\$\{|\$\(|\{\{|%\(|#\{|<|>|^\$|^%|^env[:.]|^vault[:.]|process\.env|getenv|environ|^(?:password|passwd|pass|secret|token|none|null|true|false|test|foobar)\d{0,3}$")
 _PATTERN = re.compile(r"\[[^\]]*-[^\]]*\]|\([^)]*\||\(\?|\{\d|\.[*+]|\[\^|\\[dwsbDWSB]|[{}\\]")
 _PATH = re.compile(r"^[./~]?[a-z0-9_.-]+(?:/[a-z0-9_.-]+)+$")
+_CODE_NAME = re.compile(r"^[a-z_]+\d{0,3}$|^[A-Z_]+\d{0,3}$|^[a-z]+(?:[A-Z][a-z]+)*\d{0,3}$|^[a-z]+(?:\.\w+)+$")
 _UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
 
 
@@ -146,11 +148,18 @@ def plausible(value: str) -> bool:
     return digit and (upper or lower) or (upper and lower and len(value) >= 20) or (digit and len(value) >= 12)
 
 
-def names_a_credential(name: str) -> bool:
+def _dense(value: str) -> bool:
+    return len(value) >= 20 and any(map(str.isdigit, value)) and any(map(str.isupper, value)) and any(map(str.islower, value))
+
+
+def names_a_credential(name: str, value: str = "") -> bool:
+    """By the words of the name; a name that only ends in key or auth needs a dense random value."""
     words = [w.lower() for w in _WORDS.findall(name)]
     words = [w for w in words if not w.isdigit()]
     if not words or words[-1] in _NOT_A_VALUE:
         return False
+    if words[-1] in ("key", "auth") and not _OPEN_KEYS & set(words) and _dense(value):
+        return True
     return any(w in _CRED for w in words) or any(a in _KEY_OF and b == "key" for a, b in zip(words, words[1:])) or any(w.endswith(("password", "secret", "apikey")) for w in words)
 
 
@@ -198,17 +207,17 @@ def _spans_of(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int, st
                         spans.add((*m.span(1), kind))
     for lo, hi in lines:
         for m in _QUERY.finditer(text, lo, hi):
-            if names_a_credential(m.group(1)) and plausible(m.group(2)):
+            if names_a_credential(m.group(1), m.group(2)) and plausible(m.group(2)):
                 spans.add((*m.span(2), "assigned"))
         pos = lo
         while m := _ASSIGN.search(text, pos, hi):
             name = m.group("name")
             pos = m.end("name")
-            if m.group("cli") is not None and not name.startswith("--") or not names_a_credential(name):
-                continue
             which = "quoted" if m.group("quoted") is not None else "plain"
             v = m.group(which)
-            if plausible(v) and (which == "quoted" or not v.isidentifier() or any(c.isdigit() for c in v) and not v.islower()):
+            if m.group("cli") is not None and not name.startswith("--") or not names_a_credential(name, v):
+                continue
+            if plausible(v) and (which == "quoted" or not _CODE_NAME.match(v)):
                 spans.add((*m.span(which), "assigned"))
                 pos = m.end()
     kept: list[tuple[int, int, str]] = []
