@@ -220,7 +220,7 @@ def extract_ruby(text: str) -> list[dict]:
                     row["end_line"] = line + 1
                 if what in ("class", "module"):
                     section.pop()
-        else:
+        elif not re.search(r"\bend\b", masked[m.end() : masked.find("\n", m.end()) if "\n" in masked[m.end() :] else None]):
             stack.append((None, "block"))
     return out
 
