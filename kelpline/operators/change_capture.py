@@ -54,11 +54,24 @@ def fold_changes(records: DataFrame) -> DataFrame:
     return changed.select("run_id", "path", F.col("now.hash").alias("hash"), F.col("now.insert_id").alias("insert_id"), F.col("now.modified_at").alias("modified_at"))
 
 
+def offset_plan(log: DataFrame, runs: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
+    """(run_id, part, batch_no, start, end): the offset range of every batch in every partition, one row each."""
+    part = F.pmod(F.xxhash64("path"), F.lit(partitions)).cast("int")
+    ranges = log.groupBy("batch_no", part.alias("part")).agg(F.min("insert_id").alias("start"), F.max("insert_id").alias("end"))
+    return ranges.join(batch_plan(ranges, runs), "batch_no").select("run_id", "part", "batch_no", "start", "end")
+
+
 def changes_by_run(feed: DataFrame, runs: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
-    """All planned batches of all succeeded runs in one pass: plan, execute, deduplicate by (key, offset)."""
+    """All batches of all succeeded runs in one pass.
+
+    The plan is written to the shared folder ahead of the work; lost tasks read it again and repeat
+    the same ranges. Its size is partitions times batches, whatever the number of records. The
+    result is deduplicated by (run, key, offset).
+    """
     log = normalise_feed(feed)
-    plan = batch_plan(log, runs)
-    planned = log.join(plan, "batch_no").dropDuplicates(["run_id", "path", "insert_id"])
+    plan = cut(offset_plan(log, runs, partitions))
+    part = F.pmod(F.xxhash64("path"), F.lit(partitions)).cast("int")
+    planned = log.withColumn("part", part).join(plan, ["part", "batch_no"]).where(F.col("insert_id").between(F.col("start"), F.col("end"))).dropDuplicates(["run_id", "path", "insert_id"])
     return fold_changes(planned.select("run_id", "path", "modified_at", "insert_id", "hash"))
 
 

@@ -82,8 +82,11 @@ def index_stats(files: DataFrame, symbols: DataFrame, embeddings: DataFrame) ->
         F.count(F.lit(1)).alias("symbols"), F.count_if(F.col("visibility").isNotNull() & (F.col("visibility") != "unknown")).alias("with_visibility"), F.count_if(F.col("parent_symbol_id").isNotNull()).alias("with_parent"),
     )
     maps = lambda c, name: symbols.groupBy(c.alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
-    one = files.agg(F.count(F.lit(1)).alias("files")).crossJoin(s).crossJoin(embeddings.agg(F.count(F.lit(1)).alias("embeddings")))
-    return one.crossJoin(maps(F.coalesce("kind", F.lit("unknown")), "by_kind")).crossJoin(maps(F.coalesce("visibility", F.lit("unknown")), "by_visibility"))
+    parts = [files.agg(F.count(F.lit(1)).alias("files")), s, embeddings.agg(F.count(F.lit(1)).alias("embeddings")), maps(F.coalesce("kind", F.lit("unknown")), "by_kind"), maps(F.coalesce("visibility", F.lit("unknown")), "by_visibility")]
+    one = parts[0]
+    for p in parts[1:]:  # five rows of one aggregate each, folded into one
+        one = one.unionByName(p, allowMissingColumns=True)
+    return one.agg(*[F.first(c, ignorenulls=True).alias(c) for c in one.columns])
 
 
 def priority_ranking(items: DataFrame, weights: dict[str, float] | None = None, paths: list[str] | None = None, least: float | None = None, most: float | None = None, limit: int | None = None) -> DataFrame:
@@ -121,19 +124,24 @@ def context_ranking(files: DataFrame, symbols: DataFrame, lines: DataFrame | Non
 def pack_budget(items: DataFrame, budget: int, priority: Column, text: Column, key: Column, group: Column | None = None) -> DataFrame:
     """Greedy selection within a token budget: by priority, an item that does not fit is skipped.
 
-    Items are first cut to those that could be taken at all; the ordered fold then runs once per group.
+    Room only shrinks, so of equally long items a prefix by priority is taken: of length t at most
+    budget / t can be. The ordered fold therefore sees at most budget * ln(budget) items a group,
+    however many there are. Items without tokens are always taken and have no place.
     """
     g = F.lit(1) if group is None else group
-    rows = items.select(g.alias("g"), F.struct((-priority.cast("double")).alias("p"), key.alias("key"), token_estimate(text).alias("t")).alias("r")).where(F.col("r.t") <= budget)
-    ordered = F.array_sort(F.collect_list("r"))
+    rows = items.select(g.alias("g"), (-priority.cast("double")).alias("p"), key.cast("bigint").alias("key"), token_estimate(text).alias("t")).where(F.col("t") <= budget)
+    same = Window.partitionBy("g", "t").orderBy("p", "key")
+    able = rows.where("t > 0").withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= F.floor(F.lit(budget) / F.col("t")))
+    ordered = F.array_sort(F.collect_list(F.struct("p", "key", "t")))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<key:bigint,t:bigint>>").alias("taken"))
 
     def step(acc: Column, r: Column) -> Column:
         fits = acc["used"] + r["t"] <= budget
-        return F.when(fits, F.struct((acc["used"] + r["t"]).alias("used"), F.concat(acc["taken"], F.array(F.struct(r["key"].cast("bigint").alias("key"), r["t"].alias("t")))).alias("taken"))).otherwise(acc)
+        return F.when(fits, F.struct((acc["used"] + r["t"]).alias("used"), F.concat(acc["taken"], F.array(F.struct(r["key"].alias("key"), r["t"].alias("t")))).alias("taken"))).otherwise(acc)
 
-    packed = rows.groupBy("g").agg(F.aggregate(ordered, start, step).alias("s"))
-    return packed.select("g", F.posexplode("s.taken").alias("pos", "x")).select("g", F.col("x.key").alias("key"), F.col("x.t").alias("tokens"), (F.col("pos") + 1).cast("bigint").alias("place"))
+    packed = able.groupBy("g").agg(F.aggregate(ordered, start, step).alias("s"))
+    taken = packed.select("g", F.posexplode("s.taken").alias("pos", "x")).select("g", F.col("x.key").alias("key"), F.col("x.t").alias("tokens"), (F.col("pos") + 1).cast("bigint").alias("place"))
+    return taken.unionByName(rows.where("t = 0").select("g", "key", F.col("t").alias("tokens"), F.lit(None).cast("bigint").alias("place")))
 
 
 def git_scores(commits: DataFrame, now: str, latest: int = 50) -> DataFrame:

@@ -13,6 +13,7 @@ from kelpline.functions.jsoncols import decode_list, encode_list
 from kelpline.functions.paths import extension
 from kelpline.functions.text import cache_key, chunk_type, content_hash, duration, fence_tag, language_of_extension, normalise_query, relative_path, signature_line, token_estimate, visibility
 from kelpline.operators import chunking, context, retrieval, search, tables
+from kelpline.operators.numbering import global_rank
 from kelpline.runtime import table
 from kelpline.sources import manifests
 from kelpline.streaming import changes, results
@@ -356,14 +357,14 @@ def _(s, d):
 _HITS = "(SELECT DISTINCT hit_id, query_id, path, content, line_number, score FROM search_hits)"
 
 
-@q("T07_rank_fusion", f"""WITH k AS (SELECT path, line_number, row_number() OVER (ORDER BY score DESC, hit_id) AS r FROM {_HITS} WHERE query_id = 1 AND score IS NOT NULL),
-v AS (SELECT path, line_number, row_number() OVER (ORDER BY score DESC, hit_id) AS r FROM {_HITS} WHERE query_id = 2 AND score IS NOT NULL),
+@q("T07_rank_fusion", f"""WITH k AS (SELECT path, line_number, row_number() OVER (ORDER BY score DESC, hit_id) AS r FROM {_HITS} WHERE query_id = 1 AND score IS NOT NULL QUALIFY r <= 120),
+v AS (SELECT path, line_number, row_number() OVER (ORDER BY score DESC, hit_id) AS r FROM {_HITS} WHERE query_id = 2 AND score IS NOT NULL QUALIFY r <= 120),
 u AS (SELECT path, line_number, 'Keyword' AS side, 0.5 / (60 + r) AS p FROM k UNION ALL SELECT path, line_number, 'Semantic', 0.5 / (60 + r) FROM v),
 m AS (SELECT path, line_number, sum(p) AS score, CASE WHEN count(*) > 1 THEN 'Hybrid' ELSE min(side) END AS match_type FROM u GROUP BY 1, 2)
 SELECT path, line_number::BIGINT AS line_number, round(m.score, 8) AS score, match_type FROM m ORDER BY round(m.score, 12) DESC, path, line_number LIMIT 40""")
 def _(s, d):
     hits = table(s, d, "search_hits").distinct().where("score is not null")
-    side = lambda n: hits.where(F.col("query_id") == n).withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "hit_id")))
+    side = lambda n: hits.where(F.col("query_id") == n).orderBy(F.col("score").desc(), "hit_id").limit(120).withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "hit_id")))
     return retrieval.fuse(side(1), side(2), 40).select("path", "line_number", F.round("score", 8).alias("score"), "match_type")
 
 
@@ -636,10 +637,9 @@ def _(s, d):
 
 @q("W10_result_chunks", "SELECT rank, (rank - 1) // 10 AS chunk, least(((rank - 1) // 10 + 1) * 10, n) >= n AS is_last, 100 * least(((rank - 1) // 10 + 1) * 10, n) // n AS progress FROM (SELECT row_number() OVER (ORDER BY path) AS rank, count(*) OVER () AS n FROM files)")
 def _(s, d):
-    ranked = search.rank_of(files(s, d).select("path", F.lit(0).alias("x")), "x", "path")
-    total = F.count(F.lit(1)).over(Window.partitionBy())
-    e = results.envelope(F.col("rank"), F.col("total"))
-    return ranked.withColumn("total", total).select("rank", e["chunk"].alias("chunk"), e["is_last"].alias("is_last"), e["progress"].alias("progress"))
+    ranked = global_rank(files(s, d).select("path"), "path")
+    e = results.envelope(F.col("rank"), F.lit(ranked.count()))
+    return ranked.select("rank", e["chunk"].alias("chunk"), e["is_last"].alias("is_last"), e["progress"].alias("progress"))
 
 
 @q("S25_listing_changes", "WITH a AS (SELECT path, max(modified_at) AS modified_at, max(size) AS size FROM file_inserts WHERE batch_no <= 3 GROUP BY 1) SELECT coalesce(a.path, f.path) AS path, CASE WHEN a.path IS NULL THEN 'Created' WHEN f.path IS NULL THEN 'Deleted' ELSE 'Modified' END AS kind FROM a FULL JOIN files f ON a.path = f.path WHERE a.path IS NULL OR f.path IS NULL OR a.modified_at IS DISTINCT FROM f.modified_at OR a.size IS DISTINCT FROM f.size")

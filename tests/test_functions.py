@@ -238,3 +238,24 @@ def test_results(spark):
     assert [len(p["items"]) for p in parts] == [10, 10, 5] and [p["is_last"] for p in parts] == [False, False, True]
     assert list(results.text_chunks("ab\ncdefgh ij", 4)) == ["ab\n", "cdef", "gh ", "ij"]
     assert "".join(results.text_chunks("x y\n" * 5000)) == "x y\n" * 5000
+
+
+def test_budget_equals_plain_greedy(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(k, r.randrange(9), "x" * (4 * r.choice([0, 1, 2, 3, 5, 8, 13, 60]))) for k in range(400)]
+    got = retrieval.pack_budget(spark.createDataFrame(rows, "id bigint, p int, t string"), 90, F.col("p"), F.col("t"), F.col("id")).collect()
+    room, want = 90, set()
+    for k, _, t in sorted(rows, key=lambda x: (-x[1], x[0])):
+        if len(t) // 4 <= room:
+            room -= len(t) // 4
+            want.add(k)
+    assert {x.key for x in got} == want
+
+
+def test_global_rank(spark):
+    from kelpline.operators.numbering import global_rank
+
+    got = global_rank(spark.range(500).repartition(7).selectExpr("id * 37 % 500 as v"), "v").collect()
+    assert all(x["rank"] == x.v + 1 for x in got) and len(got) == 500
