@@ -176,6 +176,7 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
 
 def fill_report(packed: DataFrame) -> DataFrame:
     """containers, tokens, and items that were split."""
-    per_item = packed.groupBy("item_id").agg(F.count(F.lit(1)).alias("pieces"))
-    a = packed.agg(F.count_distinct("container").alias("containers"), F.sum("size").alias("tokens"))
-    return a.crossJoin(per_item.agg(F.count_if(F.col("pieces") > 1).alias("split_items")))
+    whole = packed.agg(F.count_distinct("container").alias("containers"), F.sum("size").alias("tokens"))
+    split = packed.groupBy("item_id").agg(F.count(F.lit(1)).alias("pieces")).agg(F.count_if(F.col("pieces") > 1).alias("split_items"))
+    both = whole.unionByName(split, allowMissingColumns=True)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
