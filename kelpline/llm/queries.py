@@ -85,6 +85,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.pairs_once(neighbours.most_similar(vectors, 64, k=5, least=0.9))
 
 
+def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 20 against all rows, whatever the similarity."""
+    vectors = neighbours.clean_vectors(table(spark, sf_dir, "chunk_embeddings"), 64)
+    return neighbours.nearest(vectors, F.col("id") % 20 == 0, 64, k=5)
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -144,7 +150,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates,
     "p4_found": p4_found, "p4_masked": p4_masked,
     "p6_found": p6_found, "p6_origin": p6_origin,
-    "p7_found": p7_found,
+    "p7_found": p7_found, "p7_neighbours": p7_neighbours,
     "p8_found": p8_found, "p8_pack": p8_pack, "p8_fill": p8_fill,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_scores": p10_scores,
