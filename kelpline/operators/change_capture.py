@@ -65,13 +65,13 @@ def changes_by_run(feed: DataFrame, runs: DataFrame, partitions: int = PARTITION
     """All batches of all succeeded runs in one pass.
 
     The plan is written to the shared folder ahead of the work; lost tasks read it again and repeat
-    the same ranges. Its size is partitions times batches, whatever the number of records. The
-    result is deduplicated by (run, key, offset).
+    the same ranges. Its size is partitions times batches, whatever the number of records. The fold
+    keeps one row per (run, key), that of the deciding offset, so repeated deliveries add nothing.
     """
     log = normalise_feed(feed)
     plan = cut(offset_plan(log, runs, partitions))
     part = F.pmod(F.xxhash64("path"), F.lit(partitions)).cast("int")
-    planned = log.withColumn("part", part).join(plan, ["part", "batch_no"]).where(F.col("insert_id").between(F.col("start"), F.col("end"))).dropDuplicates(["run_id", "path", "insert_id"])
+    planned = log.withColumn("part", part).join(plan, ["part", "batch_no"]).where(F.col("insert_id").between(F.col("start"), F.col("end")))
     return fold_changes(planned.select("run_id", "path", "modified_at", "insert_id", "hash"))
 
 
