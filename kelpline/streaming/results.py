@@ -37,3 +37,9 @@ def text_chunks(text: str, size: int = 4096, separator: str = " ") -> Iterator[s
         text = text[at:]
     if text:
         yield text
+
+
+def progress(done: int, total: int, seconds: float) -> dict[str, float | None]:
+    """Percent, items a second and seconds left; unknown where nothing is done yet."""
+    rate = done / seconds if seconds > 0 else 0.0
+    return {"percent": 100.0 * done / total if total else 100.0, "per_second": rate, "seconds_left": (total - done) / rate if rate else None}

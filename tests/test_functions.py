@@ -259,3 +259,8 @@ def test_global_rank(spark):
 
     got = global_rank(spark.range(500).repartition(7).selectExpr("id * 37 % 500 as v"), "v").collect()
     assert all(x["rank"] == x.v + 1 for x in got) and len(got) == 500
+
+
+def test_progress():
+    assert results.progress(5, 20, 10) == {"percent": 25.0, "per_second": 0.5, "seconds_left": 30.0}
+    assert results.progress(0, 0, 0)["percent"] == 100.0 and results.progress(0, 5, 1)["seconds_left"] is None
