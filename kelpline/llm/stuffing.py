@@ -43,7 +43,7 @@ _HUMP = re.compile(r"[a-zäöüßéáíóúñ](?=[A-ZÄÖÜÉÁÍÓÚÑ])")
 #: A link address weighs as much as this many characters of text, however long it is.
 LINK_WEIGHT = 5.0
 _TECH = re.compile(
-    r"^\s*(?:\d{4}-\d\d-\d\d[T ]\d\d:|\[?\d\d:\d\d:\d\d|\d+:\s+\w+::|at\s+\S+[:(]\d*|File \"|Traceback|thread |panic|\||>|#!|//|/\*|\*/|--\s)"
+    r"^\s*(?:\d{4}-\d\d-\d\d[T ]\d\d:|\[?\d\d:\d\d:\d\d|\d+:\s+\w+::|at\s+\S+\s*[:(](?:\d|\S+:\d)|File \"|Traceback|thread |panic|\||>|#!|//|/\*|\*/|--\s)"
     r"|::|[{};]\s*$|^\s*[\w.\[\]\"'&*]+(?:,\s*\w+)?\s*(?::=|[-+*/]?=)\s|\w\([^)\n]*\)\s*[:;{,]?\s*$|=>|->|^\s*(?:def|fn|func|class|import|return|if|for|while|let|const|var|pub|use|end|else|try|catch)\b.*[:;{()]\s*$|\bat \S+\.\w+:\d+"
 )
 _LINK = re.compile(r"https?://|www\.|<a\s|\]\(")
