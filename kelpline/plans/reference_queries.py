@@ -577,6 +577,12 @@ def _(s, d):
     return extract_symbols(contents(s, d), "path", "language", "text").select("path", "error", "ordinal", "name", "kind", "start_line", "end_line", "visibility", "parent_name")
 
 
+def manifest_texts(s, d, name, example):
+    """The documents of that name in the tables, and ``example``, whose rows are those of the SQL."""
+    named = contents(s, d).where(F.substring_index("path", "/", -1) == name).select("text")
+    return named.unionByName(s.createDataFrame([(example,)], "text string"))
+
+
 @q("S20_cargo")
 def _(s, d):
     return manifests.cargo(contents(s, d).where(F.col("path").like("%Cargo.toml")), "text").unionByName(manifests.cargo(s.createDataFrame([('[dependencies]\na = "1"\nb = { version = "2" }\n[dev-dependencies]\nc = "3"\n',)], "text string")))
@@ -584,17 +590,17 @@ def _(s, d):
 
 @q("S21_package_json", "SELECT * FROM (VALUES ('a', '^1', 'Runtime', 'Npm'), ('b', '2', 'Development', 'Npm'), ('c', NULL, 'Peer', 'Npm')) t(name, version, dep_type, source)")
 def _(s, d):
-    return manifests.package_json(s.createDataFrame([('{"dependencies": {"a": "^1"}, "devDependencies": {"b": "2"}, "peerDependencies": {"c": {"x": 1}}}',)], "text string"))
+    return manifests.package_json(manifest_texts(s, d, "package.json", '{"dependencies": {"a": "^1"}, "devDependencies": {"b": "2"}, "peerDependencies": {"c": {"x": 1}}}'))
 
 
 @q("S22_requirements", "SELECT * FROM (VALUES ('a', '==1.0', 'Runtime', 'PyPi'), ('b ', '>= 2', 'Runtime', 'PyPi'), ('c', NULL, 'Runtime', 'PyPi')) t(name, version, dep_type, source)")
 def _(s, d):
-    return manifests.requirements(s.createDataFrame([("# c\na==1.0\n\nb >= 2\n-r other\nc\n",)], "text string"))
+    return manifests.requirements(manifest_texts(s, d, "requirements.txt", "# c\na==1.0\n\nb >= 2\n-r other\nc\n"))
 
 
 @q("S23_pyproject", "SELECT * FROM (VALUES ('a', '>=1', 'Runtime', 'PyPi'), ('b', '[x]==2', 'Runtime', 'PyPi'), ('c', '^3', 'Runtime', 'PyPi')) t(name, version, dep_type, source)")
 def _(s, d):
-    return manifests.pyproject(s.createDataFrame([('[project]\ndependencies = ["a>=1", "b[x]==2"]\n[tool.poetry.dependencies]\npython = "3"\nc = "^3"\n',)], "text string"))
+    return manifests.pyproject(manifest_texts(s, d, "pyproject.toml", '[project]\ndependencies = ["a>=1", "b[x]==2"]\n[tool.poetry.dependencies]\npython = "3"\nc = "^3"\n'))
 
 
 # streams

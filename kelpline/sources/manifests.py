@@ -16,10 +16,17 @@ def _version(v: object) -> str | None:
     return v if isinstance(v, str) else v.get("version") if isinstance(v, dict) and isinstance(v.get("version"), str) else None
 
 
+def _table(doc: object, *keys: str) -> dict:
+    """The table at ``keys``; empty where there is none or something else."""
+    for key in keys:
+        doc = doc.get(key) if isinstance(doc, dict) else None
+    return doc if isinstance(doc, dict) else {}
+
+
 def _cargo(text: str) -> Iterator[tuple]:
     doc = tomllib.loads(text)
     for table, kind in (("dependencies", "Runtime"), ("dev-dependencies", "Development"), ("build-dependencies", "Build")):
-        for name, v in doc.get(table, {}).items():
+        for name, v in _table(doc, table).items():
             yield name, _version(v), kind, "Cargo"
 
 
@@ -31,11 +38,12 @@ def _pep508(spec: str) -> tuple[str, str | None]:
 
 def _pyproject(text: str) -> Iterator[tuple]:
     doc = tomllib.loads(text)
-    for spec in doc.get("project", {}).get("dependencies", []):
-        yield *_pep508(spec), "Runtime", "PyPi"
-    poetry = doc.get("tool", {}).get("poetry", {})
+    specs = _table(doc, "project").get("dependencies")
+    for spec in specs if isinstance(specs, list) else []:
+        if isinstance(spec, str):
+            yield *_pep508(spec), "Runtime", "PyPi"
     for table, kind in (("dependencies", "Runtime"), ("dev-dependencies", "Development")):
-        for name, v in poetry.get(table, {}).items():
+        for name, v in _table(doc, "tool", "poetry", table).items():
             if name != "python":
                 yield name, v if isinstance(v, str) else None, kind, "PyPi"
 
@@ -64,13 +72,12 @@ def pyproject(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def package_json(df: DataFrame, text: str = "text") -> DataFrame:
-    """JVM-side: three maps of one document; a version that is no string is null."""
+    """JVM-side: three maps of one document, read once; a version that is no string is null."""
     doc = df.select(F.from_json(text, "dependencies map<string,string>, devDependencies map<string,string>, peerDependencies map<string,string>").alias("d"))
-    parts = None
-    for field, kind in (("dependencies", "Runtime"), ("devDependencies", "Development"), ("peerDependencies", "Peer")):
-        part = doc.select(F.explode(f"d.{field}").alias("name", "version")).select("name", F.when(~F.col("version").rlike(r"^[\[{]|^(?:true|false|null)$"), F.col("version")).alias("version"), F.lit(kind).alias("dep_type"), F.lit("Npm").alias("source"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    of = lambda field, kind: F.transform(F.map_entries(f"d.{field}"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("version"), F.lit(kind).alias("dep_type")))
+    parts = [of("dependencies", "Runtime"), of("devDependencies", "Development"), of("peerDependencies", "Peer")]
+    rows = doc.select(F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("r")).select("r.*")
+    return rows.select("name", F.when(~F.col("version").rlike(r"^[\[{]|^(?:true|false|null)$"), F.col("version")).alias("version"), "dep_type", F.lit("Npm").alias("source"))
 
 
 def requirements(df: DataFrame, text: str = "text") -> DataFrame:
