@@ -51,7 +51,7 @@ GRAMMAR = {
     "stripe": re.compile(_W + r"([sr]k_(?:live|test)_[A-Za-z0-9]{16,})"),
     "package": re.compile(_W + r"(npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,}|sk-[A-Za-z0-9_-]{32,})(?![A-Za-z0-9])"),
     "jwt": re.compile(_W + r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
-    "url": re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^\s:/@\"'`<>]*):([^\s@/\"'`]+)@[A-Za-z0-9\[$({]"),
+    "url": re.compile(r"([^\s:/@\"'`<>]*):([^\s@/\"'`]+)@[A-Za-z0-9\[$({]"),
     "bearer": re.compile(r"[Bb]earer ([A-Za-z0-9._~+/=-]{20,})"),
     "basic": re.compile(r"[Bb]asic ([A-Za-z0-9+/_-]{8,}={0,2})"),
 }
@@ -61,6 +61,10 @@ _ASSIGN = re.compile(
     r"(?:\s*(?:=>|:=|\|\||\?\?|[:=]|,(?=\s*(?:\.\w+\s*=\s*)?[\"'`]))\s*(?:\.\w+\s*=\s*)?|(?<=\w)\s+(?=(?P<cli>[\"'`]|\S*\d)))"
     r"(?:(?P<q>[\"'`])(?P<quoted>(?:(?!(?P=q))[^\n\\])*)(?P=q)|(?P<plain>[^\s\"'`,;&<>(){}\[\]]+)(?=[\s\"'`,;&)}\]]|$))"
 )
+_SCHEME = re.compile(r"[A-Za-z0-9+.-]")
+#: Ends of a line whose value a formatter may have put on a later line, and that literal.
+_OPEN_END = ("=>", "||", "??", "=", ":", ",")
+_NEXT_QUOTED = re.compile(r"\s*([\"'`])(?:(?!\1)[^\n\\])*\1")
 _QUERY = re.compile(r"[?&]([A-Za-z_][\w.-]*)=([^&\s\"'`<>#]+)")
 _SPLIT = re.compile(r"([\"'`])\s*\+\s*\1")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -176,6 +180,7 @@ def _spans_of(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int, st
     """(start, end, kind) of secrets; ``hits``: (end position of an anchor, grammar bits)."""
     spans: set[tuple[int, int, str]] = set()
     lines: set[tuple[int, int]] = set()
+    past: dict[str, int] = {}  # end of the last secret of a grammar: what starts inside it is shorter
     for end, bits in hits:
         for bit, kind in enumerate(_KINDS):
             if not bits >> bit & 1:
@@ -191,26 +196,30 @@ def _spans_of(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int, st
                     if len(body) >= 40 and len(set(body)) >= 8:
                         spans.add((*m.span(2), kind))
             elif kind == "url":
-                lo = end
-                while lo > 0 and (text[lo - 1].isalnum() or text[lo - 1] in "+.-:/"):
+                lo = end - 2
+                while lo > 0 and _SCHEME.match(text[lo - 1]):
                     lo -= 1
-                m = GRAMMAR["url"].search(text, lo, min(len(text), end + 400))
+                m = GRAMMAR["url"].match(text, end + 1) if re.search("[A-Za-z]", text[lo : end - 2]) else None
                 if m and not _PLACEHOLDER.search(m.group(2)) and not _PATTERN.search(m.group(2)) and len(m.group(2)) >= 4 and not m.group(2).startswith("$"):
                     spans.add((*m.span(2), kind))
             else:
-                size = max(len(w) for w in ANCHORS[kind])
-                m = GRAMMAR[kind].search(text, max(0, end - size - 1), end + 4_000)
-                if m and m.start() <= end:
+                for size in {len(w) for w in ANCHORS[kind]}:
+                    start = end + 1 - size
+                    if start < past.get(kind, 0) or not (m := GRAMMAR[kind].match(text, start)):
+                        continue
                     v = m.group(1)
                     ok = _basic_login(v) if kind == "basic" else not _PLACEHOLDER.search(v) and len(set(v)) >= 6 and (kind != "bearer" or any(c.isdigit() for c in v))
                     if ok:
                         spans.add((*m.span(1), kind))
+                        past[kind] = m.end(1)
     for lo, hi in lines:
         for m in _QUERY.finditer(text, lo, hi):
             if names_a_credential(m.group(1), m.group(2)) and plausible(m.group(2)):
                 spans.add((*m.span(2), "assigned"))
-        pos = lo
-        while m := _ASSIGN.search(text, pos, hi):
+        pos, reach = lo, hi
+        if text[lo:hi].rstrip().endswith(_OPEN_END) and (m := _NEXT_QUOTED.match(text, hi)):
+            reach = m.end()
+        while (m := _ASSIGN.search(text, pos, reach)) and m.start() < hi:
             name = m.group("name")
             pos = m.end("name")
             which = "quoted" if m.group("quoted") is not None else "plain"
