@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kelpline.functions.paths import extension
+from kelpline.functions.text import language_of_extension
+
 COLUMNS = "ordinal bigint, name string, kind string, start_line int, end_line int, signature string, doc_comment string, visibility string, is_async boolean, is_static boolean, is_abstract boolean, is_exported boolean, is_const boolean, is_unsafe boolean, parent_name string, type_parameters array<string>, parameters array<struct<name:string,type:string>>, return_type string"
 LANGUAGES = ("rust", "typescript", "javascript", "python", "ruby", "go", "c", "cpp")
 
@@ -294,7 +297,10 @@ def extract(language: str, text: str) -> list[dict]:
 
 
 def extract_symbols(files: DataFrame, path: str, language: str, text: str) -> DataFrame:
-    """One row per symbol in document order; a file that does not parse gives one row with ``error`` and no name."""
+    """One row per symbol in document order; a file that does not parse gives one row with ``error`` and no name.
+
+    Where the language is null or blank, the extension of the path names it.
+    """
     schema = T.StructType.fromDDL(f"path string, error string, {COLUMNS}")
     names = schema.fieldNames()
 
@@ -317,5 +323,5 @@ def extract_symbols(files: DataFrame, path: str, language: str, text: str) -> Da
                         out[c] = out[c].astype(object).where(out[c].notna(), None)
                 yield out
 
-    picked = files.select(F.col(path).alias("path"), F.lower(F.col(language)).alias("language"), F.col(text).alias("text")).where("path is not null and text is not null and language is not null")
+    picked = files.select(F.col(path).alias("path"), F.coalesce(F.nullif(F.lower(F.trim(language)), F.lit("")), language_of_extension(extension(F.col(path)))).alias("language"), F.col(text).alias("text")).where("path is not null and text is not null")
     return picked.where(F.col("language").isin(*LANGUAGES)).mapInPandas(run, schema)
