@@ -73,40 +73,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-_CLASS: dict[str, int] = {}
-_HASH: dict[str, int] = {}
-
-
-def _classes(tokens: list[str]) -> list[int]:
-    out = []
-    for t in tokens:
-        c = _CLASS.get(t)
-        if c is None:
-            if t[0].isdigit():
-                c = 1
-            elif t[0] in "\"'" and len(t) > 1:
-                c = 2
-            elif t[0].isalpha() or t[0] == "_":
-                c = 0 if t.lower() not in KEYWORDS else 3 + xxhash.xxh32_intdigest(t) % (1 << 20)
-            else:
-                c = 3 + xxhash.xxh32_intdigest(t) % (1 << 20)
-            if len(_CLASS) > 500_000:
-                _CLASS.clear()
-            _CLASS[t] = c
-        out.append(c)
-    return out
-
-
-def _hashes(tokens: list[str]) -> list[int]:
-    out = []
-    for t in tokens:
-        h = _HASH.get(t)
-        if h is None:
-            if len(_HASH) > 500_000:
-                _HASH.clear()
-            h = _HASH[t] = xxhash.xxh64_intdigest(t)
-        out.append(h)
-    return out
+def _class(token: str) -> int:
+    if token[0].isdigit():
+        return 1
+    if token[0] in "\"'" and len(token) > 1:
+        return 2
+    if (token[0].isalpha() or token[0] == "_") and token.lower() not in KEYWORDS:
+        return 0
+    return 3 + xxhash.xxh32_intdigest(token) % (1 << 20)
+
+
+def _coded(sequences: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct tokens, their number at every position, the sequence of every position, lengths)."""
+    numbers: dict[str, int] = {}
+    lengths = np.array([len(x) for x in sequences], np.int64)
+    flat = np.fromiter((numbers.setdefault(t, len(numbers)) for x in sequences for t in x), np.int64, int(lengths.sum()))
+    return list(numbers), flat, np.repeat(np.arange(len(sequences)), lengths), lengths
+
 
 def _picked(pair: np.ndarray, inv: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pairs to replace in this round, pairs that recur): a pair goes before those it overlaps if it is more frequent.
@@ -260,17 +243,15 @@ def dense(text: str) -> bool:
 def judge(paths: list[str], texts: list[str], code: list[bool]) -> pd.DataFrame:
     """One row of features per file."""
     n = len(texts)
-    tokens = [_TOKEN.findall(t) for t in texts]
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    files, total = np.repeat(np.arange(n), sizes), int(sizes.sum())
-    classes = Grammar(np.fromiter((c for t in tokens for c in _classes(t)), np.int64, total), files, n)
-    exact = Grammar(np.fromiter((h for t in tokens for h in _hashes(t)), np.uint64, total), files, n, keyed=True)
+    known, flat, files, sizes = _coded([_TOKEN.findall(t) for t in texts])
+    classes = Grammar(np.fromiter(map(_class, known), np.int64, len(known))[flat], files, n)
+    exact = Grammar(np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))[flat], files, n, keyed=True)
     f, rule, size = exact.phrases(SHARED_TOKENS)
     order = np.argsort(f, kind="stable")
     rule, size, edges = rule[order], size[order], np.searchsorted(f[order], np.arange(n + 1))
     found = [literals(t) for t in texts]
-    count = np.array([len(x[0]) for x in found], np.int64)
-    held = Grammar(np.fromiter((h for x in found for h in _hashes(x[0])), np.uint64, int(count.sum())), np.repeat(np.arange(n), count), n)
+    _, flat, files, count = _coded([x[0] for x in found])
+    held = Grammar(flat, files, n)
     loose = held.symbols() > INCOMPRESSIBLE * count
     noted = [notices(p, t) for p, t in zip(paths, texts)]
     return pd.DataFrame(
