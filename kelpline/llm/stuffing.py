@@ -1,23 +1,25 @@
-"""Keyword-stuffed and link-list pages: suffix automaton coverage combined with missing clause structure.
-
-A page's words, numerals (as one symbol), link marks and punctuation are the letters of a suffix
-automaton. A letter is covered if it lies in a substring that occurs at least twice and has at least
-``LEAST`` letters; the longest repeated suffix of a prefix is the length of its state's suffix link (or its own length
-where the whole prefix recurs).
-Lines are clauses (function words of English, German or Spanish, or an ending of a sentence with
-some), technical (code, logs, traces, tables, fences) or neither. A page is marked if covered or
-link characters in lines of neither kind, and sentences written around one repeated word, make up
-more than half of its characters; an address weighs as much as one short word.
-
-Defined results: null, empty and very short pages are not marked; copies are judged alike; one text
-is always judged whole (texts beyond ``AUTOMATON_LETTERS`` letters use a suffix array that gives the
-same lengths); further columns are ignored.
+"""Keyword-stuffed and link-list pages: coverage by repeated maximal substrings combined with missing clause structure.
+
+A page's words, numerals (as one symbol), link marks and punctuation are the letters of its suffix
+structure. A letter is covered if it lies in a substring that occurs at least twice and has at least
+``LEAST`` letters. The suffix structure is a suffix array with common prefixes, built for a batch of pages
+at once: its intervals are the states of the suffix automaton of the reversed page, and the longest
+repeated substring at a letter is the same (``repeated_lengths`` is the automaton; tests compare them).
+
+Clauses are told by shape alone, in any language: four words or more that close with a mark of a sentence.
+Technical units (code, logs, traces, tables, fences) are told by their syntax. What is neither counts as
+stuffing where it is covered, and as a whole where ``BARE_COVERED`` of it is. Clauses count as stuffing if
+they are covered and one word or pair of words recurs more often than once a clause and fills
+``PHRASE_SHARE`` of their characters. A page is marked if stuffing makes up more than half of its
+characters; an address weighs as much as one short word. Nothing is marked without coverage.
+
+Defined results: null, empty and very short pages are not marked; copies are judged alike; pages are always
+judged whole, by the same steps at every length; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +29,16 @@ from pyspark.sql import functions as F
 
 LEAST = 2
 #: Text without clauses of which at least this share repeats is stuffing as a whole.
-BARE_COVERED = 0.3
-#: A word stuffs sentences if it comes so often a sentence and makes up this share of all words.
-PHRASE_A_SENTENCE, PHRASE_SHARE = 1.4, 0.18
+BARE_COVERED = 0.35
+#: A word or pair stuffs clauses if it comes so often a clause, fills this share of them, and this share of them repeats.
+PHRASE_A_CLAUSE, PHRASE_SHARE, CLAUSES_COVERED = 1.8, 0.3, 0.7
+LEAST_PHRASES = 4
 LEAST_LETTERS = 12
-AUTOMATON_LETTERS = 400_000
-#: Common function words of the three languages of the data.
-FUNCTION_WORDS = frozenset(
-    "a an the this that these those it its is are was were be been being has have had do does did not no and or but if when while because so than then of to in on at by for from with without into about after before between until over under as i we you he she they them us our your their what which who why how where there here can could may might must should would will us once each every only"
-    " der die das den dem des ein eine einer einem einen ist sind war wird werden wurde nicht kein keine und oder aber wenn weil dass ob als wie mit ohne für von vor nach bei zu zum zur im in am an auf aus über unter sich noch mehr nur bitte man wir sie er es ich du"
-    " el la los las un una unos unas es son está están fue ser ha han hay que no y o pero si cuando porque como con sin de del al en por para antes después desde hasta sobre entre se su sus lo le ya más todavía esta este esto cuántas cuántos todo".split()
-)
-_LETTER = re.compile(r"https?://|[^\W\d_]+|\d+|[^\w\s]|_")
-_HUMP = re.compile(r"[a-zäöüßéáíóúñ](?=[A-ZÄÖÜÉÁÍÓÚÑ])")
+CLAUSE_WORDS = 4
+BATCH_CHARS = 2_000_000
+_UPPER, _LOWER = "A-ZÄÖÜÉÁÍÓÚÑ", "a-zäöüßéáíóúñ"
+#: Blanks and one letter; CamelCase tags are read word by word.
+_LETTER = re.compile(rf"(\s*)(https?://|[{_UPPER}]?[{_LOWER}]+(?=[{_UPPER}])|[^\W\d_]+?(?<=[{_LOWER}])(?=[{_UPPER}])|[^\W\d_]+|\d+|[^\w\s]|_)")
 #: A link address weighs as much as this many characters of text, however long it is.
 LINK_WEIGHT = 5.0
 _TECH = re.compile(
@@ -50,9 +49,67 @@ _LINK = re.compile(r"https?://|www\.|<a\s|\]\(")
 _ADDRESS = re.compile(r"https?://[^\s<>\"')\]]+")
 _MARKUP = re.compile(r"`[^`\n]*`|https?://\S+|<[^>\n]*>|\]\([^)\n]*\)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[\"'`*_(\[]*[A-ZÄÖÜÉÁÍÓÚ¿¡0-9])")
+#: The mark that closes a sentence, with quotes, brackets and a reference behind it.
+_CLOSED = re.compile(r"[.!?…:;。！？][\"'`)\]*_”»]*(?:\s*[(\[][^()\[\]]*[)\]])?\s*$")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def suffix_levels(letters: np.ndarray) -> list[np.ndarray]:
+    """Ranks of the substrings of 1, 2, 4, ... letters from every position, until every suffix has its own rank."""
+    n = len(letters)
+    order = np.argsort(letters, kind="stable")
+    first = np.r_[True, np.diff(letters[order]) != 0] if n else np.zeros(0, bool)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    levels, step = [rank], 1
+    shared = np.nonzero(np.bincount(rank, minlength=n)[rank] > 1)[0] if n else order
+    while len(shared):
+        behind = shared + step
+        key = rank[shared] * (n + 1) + np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        order = np.argsort(key, kind="stable")
+        key, old, at = key[order], rank[shared][order], np.arange(len(order))
+        group = np.maximum.accumulate(np.where(np.r_[True, old[1:] != old[:-1]], at, 0))
+        part = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0))
+        rank = rank.copy()
+        rank[shared[order]] = old + part - group
+        levels.append(rank)
+        step *= 2
+        shared = np.sort(shared[order][np.bincount(part, minlength=len(order))[part] > 1])
+    return levels
+
+
+def longest_repeats(levels: list[np.ndarray]) -> np.ndarray:
+    """For each position the length of the longest substring from there that occurs elsewhere too."""
+    n = len(levels[-1])
+    order = np.empty(n, np.int64)
+    order[levels[-1]] = np.arange(n)
+    a, b = order[:-1], order[1:]
+    near = np.nonzero(levels[0][a] == levels[0][b])[0]
+    a, b = a[near], b[near]
+    x, y, common = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        rank, size = levels[k], 1 << k
+        same = rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]
+        same &= (x + size <= n) & (y + size <= n)
+        common[same] += size
+        x[same] += size
+        y[same] += size
+    out = np.zeros(n, np.int64)
+    np.maximum.at(out, a, common)
+    np.maximum.at(out, b, common)
+    return out
+
+
+def covered(longest: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """The letters that lie in a repeated substring of at least ``least`` letters."""
+    n = len(longest)
+    mark = np.zeros(n + 1, np.int64)
+    at = np.nonzero(longest >= least)[0]
+    np.add.at(mark, at, 1)
+    np.add.at(mark, at + longest[at], -1)
+    return np.cumsum(mark)[:n] > 0
+
+
 def repeated_lengths(letters: list[int]) -> list[int]:
     """For each prefix the length of its longest suffix that occurs elsewhere too, by suffix automaton."""
     nxt: list[dict[int, int]] = [{}]
@@ -86,153 +143,138 @@ def repeated_lengths(letters: list[int]) -> list[int]:
     return [length[e] if e in recurs else length[link[e]] for e in ends]
 
 
-def repeated_cover_by_array(letters: list[int], least: int) -> np.ndarray:
-    """Covered letters by a suffix array (prefix doubling): for texts too long for an automaton in memory."""
-    n = len(letters)
-    rank = np.unique(np.asarray(letters, np.int64), return_inverse=True)[1].astype(np.int64)
-    levels, step = [rank], 1
-    while step < n and rank.max() < n - 1:
-        second = np.full(n, -1, np.int64)
-        second[: n - step] = rank[step:]
-        rank = np.unique(rank * (n + 2) + second + 1, return_inverse=True)[1].astype(np.int64)
-        levels.append(rank)
-        step *= 2
-    order = np.argsort(rank, kind="stable")
-    a, b = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(max(0, n - 1), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        lv, size = levels[k], 1 << k
-        ok = (a + size <= n) & (b + size <= n)
-        ok[ok] = lv[a[ok]] == lv[b[ok]]
-        common[ok] += size
-        a[ok] += size
-        b[ok] += size
-        a, b = np.minimum(a, n), np.minimum(b, n)
-    longest = np.zeros(n, np.int64)
-    np.maximum.at(longest, order[:-1], common)
-    np.maximum.at(longest, order[1:], common)
-    mark = np.zeros(n + 1, np.int64)
-    at = np.nonzero(longest >= least)[0]
-    np.add.at(mark, at, 1)
-    np.add.at(mark, at + longest[at], -1)
-    return np.cumsum(mark)[:n] > 0
-
-
-def covered(letters: list[int], least: int = LEAST) -> np.ndarray:
-    n = len(letters)
-    if n == 0:
-        return np.zeros(0, bool)
-    if n > AUTOMATON_LETTERS:
-        return repeated_cover_by_array(letters, least)
-    rep = np.asarray(repeated_lengths(letters), np.int64)
-    mark = np.zeros(n + 1, np.int64)
-    at = np.nonzero(rep >= least)[0]
-    np.add.at(mark, at - rep[at] + 1, 1)
-    np.add.at(mark, at + 1, -1)
-    return np.cumsum(mark)[:n] > 0
+BARE, LINK, TECHNICAL, CLAUSE = range(4)
 
 
-def _kind(unit: str) -> str:
-    """clause, technical, link or bare."""
+def _kind(unit: str) -> int:
     plain = _MARKUP.sub(" ", unit)
-    words = [w.lower() for w in _WORD.findall(plain)]
-    function = sum(w in FUNCTION_WORDS for w in words)
-    if len(words) >= 3 and function >= 0.18 * len(words):
-        return "clause"
+    if _CLOSED.search(plain.rstrip()) and len(_WORD.findall(plain)) >= CLAUSE_WORDS:
+        return CLAUSE
     if _LINK.search(unit):
-        return "link"
-    if _TECH.search(unit):
-        return "technical"
-    return "bare"
+        return LINK
+    return TECHNICAL if _TECH.search(unit) else BARE
 
 
-def _phrase_stuffed(clauses: list[tuple[str, float]]) -> float:
-    """Characters of sentences written around one content word that comes more than once a sentence."""
-    words = [[w.lower() for w in _WORD.findall(_MARKUP.sub(" ", u))] for u, _ in clauses]
-    counts = Counter(w for ws in words for w in ws if w not in FUNCTION_WORDS)
-    if not counts:
-        return 0.0
-    phrase, n = min(counts.items(), key=lambda x: (-x[1], x[0]))
-    if n < 4 or n < PHRASE_A_SENTENCE * len(clauses) or n < PHRASE_SHARE * sum(map(len, words)):
-        return 0.0
-    return sum(size for (_, size), ws in zip(clauses, words) if phrase in ws)
+def units(text: str) -> Iterator[tuple[int, int]]:
+    """(end, kind) of the units of a page in order: sentences of long lines, other lines whole."""
+    fence, pos = False, 0
+    for line in text.split("\n"):
+        if line.lstrip().startswith("```"):
+            fence = not fence
+            yield pos + len(line), TECHNICAL
+        elif fence:
+            yield pos + len(line), TECHNICAL
+        elif len(line) < 40:
+            yield pos + len(line), _kind(line)
+        else:
+            start = 0
+            for m in _SENTENCE.finditer(line):
+                yield pos + m.start(), _kind(line[start : m.start()])
+                start = m.end()
+            yield pos + len(line), _kind(line[start:])
+        pos += len(line) + 1
 
 
-def judge(text: str | None) -> tuple[float, float, float]:
-    """(coverage of the page by repeats, share of clauses, share of stuffing) in characters."""
-    if not text:
-        return 0.0, 0.0, 0.0
-    ids: dict[str, int] = {}
-    letters, spans = [], []
-    for m in _LETTER.finditer(text):
-        w, (lo, hi) = m.group(), m.span()
-        if hi - lo > 3 and _HUMP.search(w):  # CamelCase tags are read word by word
-            for h in [*(x.end() for x in _HUMP.finditer(w)), hi - lo]:
-                letters.append(ids.setdefault(text[lo : m.start() + h].lower(), len(ids)))
-                spans.append((lo, m.start() + h))
-                lo = m.start() + h
+def read_letters(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(letters, starts, ends)."""
+    found = _LETTER.findall(text)
+    names = [w for _, w in found]
+    gaps = np.fromiter((len(g) for g, _ in found), np.int64, len(found))
+    sizes = np.fromiter(map(len, names), np.int64, len(found))
+    ends = np.cumsum(gaps + sizes)
+    return names, ends - sizes, ends
+
+
+def _phrase(rank: np.ndarray, pick: np.ndarray, weight: np.ndarray) -> tuple[float, int]:
+    """(characters, occurrences) of the substring that fills most of the picked positions."""
+    if not pick.any():
+        return 0.0, 0
+    _, inv, count = np.unique(rank[pick], return_inverse=True, return_counts=True)
+    chars = np.bincount(inv, weights=weight[pick])
+    best = int(np.argmax(chars))
+    return float(chars[best]), int(count[best])
+
+
+def judge_all(texts: list[str | None]) -> list[tuple[float, float, float]]:
+    """(coverage of the page by repeats, share of clauses, share of stuffing) in characters, page by page."""
+    numbers: dict[str, int] = {}
+    pages, flat = [], []
+    for k, text in enumerate(texts):
+        names, starts, ends = read_letters(text or "")
+        if len(names) < LEAST_LETTERS:
             continue
-        letters.append(ids.setdefault("#" if w[0].isdigit() else w.lower(), len(ids)))
-        spans.append((lo, hi))
-    if len(letters) < LEAST_LETTERS:
-        return 0.0, 0.0, 0.0
-    cover = covered(letters)
-    at = np.asarray(spans, np.int64)
-    size = (at[:, 1] - at[:, 0]).astype(float)
+        pages.append((k, text, starts, ends))
+        flat.append(np.fromiter((numbers.setdefault(x, len(numbers)) for x in names), np.int64, len(names)))
+    out = [(0.0, 0.0, 0.0)] * len(texts)
+    if not pages:
+        return out
+    # case does not count, and every numeral is the same letter
+    same: dict[str, int] = {}
+    folded = np.fromiter((same.setdefault("#" if x[0].isdigit() else x.lower(), len(same)) for x in numbers), np.int64, len(numbers))
+    alpha = np.fromiter((x[0].isalpha() for x in numbers), bool, len(numbers))
+    # every page its own letters, and one more behind it that no other page has
+    base = len(same) + 1
+    sequence = np.concatenate([np.r_[folded[x] + i * base, i * base + base - 1] for i, x in enumerate(flat)])
+    levels = suffix_levels(sequence)
+    cover = covered(longest_repeats(levels))
+    words, pairs = levels[0], levels[1] if len(levels) > 1 else np.arange(len(sequence))
+    pos = 0
+    for (k, text, starts, ends), letters in zip(pages, flat):
+        here = slice(pos, pos + len(starts))
+        pos += len(starts) + 1
+        out[k] = _judge(text, alpha[letters], starts, ends, cover[here], words[here], pairs[here])
+    return out
+
+
+def _judge(text: str, alpha: np.ndarray, starts: np.ndarray, ends: np.ndarray, cover: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> tuple[float, float, float]:
+    n, size = len(starts), (ends - starts).astype(float)
     for m in _ADDRESS.finditer(text):
-        lo, hi = np.searchsorted(at[:, 0], m.start()), np.searchsorted(at[:, 0], m.end())
+        lo, hi = np.searchsorted(starts, m.start()), np.searchsorted(starts, m.end())
         if hi > lo:
             size[lo:hi] *= min(1.0, LINK_WEIGHT / size[lo:hi].sum())
+    found = list(units(text))
+    kind = np.repeat([k for _, k in found], np.diff(np.r_[0, np.searchsorted(starts, [e for e, _ in found])]))
+    kind = np.r_[kind, np.full(n - len(kind), BARE)]
     chars = float(size.sum())
-    clause = link = bare = bare_covered = 0.0
-    clauses: list[tuple[str, float]] = []
-    fence = False
-    k, pos, n = 0, 0, len(letters)
-    for line in text.split("\n"):
-        end_line = pos + len(line)
-        if line.lstrip().startswith("```"):
-            fence = not fence
-            units = []
-            kinds = "fence"
-        else:
-            kinds = "fence" if fence else ""
-            units = [line] if fence or len(line) < 40 else _SENTENCE.split(line)
-        if kinds == "fence":
-            while k < n and at[k, 0] < end_line:
-                k += 1
-        else:
-            here = pos
-            for unit in units:
-                end = text.index(unit, here) + len(unit) if unit else here
-                lo = k
-                while k < n and at[k, 0] < end:
-                    k += 1
-                here = end
-                if lo == k:
-                    continue
-                kind = _kind(unit)
-                if kind == "clause":
-                    clause += float(size[lo:k].sum())
-                    clauses.append((unit, float(size[lo:k].sum())))
-                elif kind == "link":
-                    link += float(size[lo:k].sum())
-                elif kind == "bare":
-                    bare += float(size[lo:k].sum())
-                    bare_covered += float(size[lo:k][cover[lo:k]].sum())
-        pos = end_line + 1
-    around_one_phrase = _phrase_stuffed(clauses)
-    clause -= around_one_phrase
-    stuffed = link + around_one_phrase + (bare if bare_covered >= BARE_COVERED * bare else bare_covered)
-    return float(size[cover].sum()) / chars, clause / chars, stuffed / chars
+    share = lambda pick: float(size[pick].sum())
+    clause = share(kind == CLAUSE)
+    stuffed = share((kind == LINK) & cover)
+    bare, bare_covered = share(kind == BARE), share((kind == BARE) & cover)
+    stuffed += bare if bare_covered >= BARE_COVERED * bare else bare_covered
+    clauses = len({int(np.searchsorted(starts, e)) for e, k in found if k == CLAUSE})
+    if clause and share((kind == CLAUSE) & cover) >= CLAUSES_COVERED * clause:
+        alpha = alpha & (kind == CLAUSE)
+        both = alpha & np.r_[alpha[1:], False]
+        filled, times = max(_phrase(words, alpha, size), _phrase(pairs, both, size + np.r_[size[1:], 0.0]))
+        if times >= max(LEAST_PHRASES, PHRASE_A_CLAUSE * clauses) and filled >= PHRASE_SHARE * clause:
+            stuffed += clause
+            clause = 0.0
+    return share(cover) / chars, clause / chars, stuffed / chars
+
+
+def judge(text: str | None) -> tuple[float, float, float]:
+    return judge_all([text])[0]
 
 
 def judge_pages(df: DataFrame, id_col: str, text_col: str, limit: float = 0.5) -> DataFrame:
     """(item_id, coverage, clauses, stuffed, marked) for every row with an id."""
 
+    def rows(ids: list[int], texts: list[str | None]) -> pd.DataFrame:
+        got = judge_all(texts)
+        return pd.DataFrame({"item_id": ids, "coverage": [g[0] for g in got], "clauses": [g[1] for g in got], "stuffed": [g[2] for g in got], "marked": [g[2] > limit for g in got]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [judge(t if isinstance(t, str) else None) for t in b["text"]]
-            yield pd.DataFrame({"item_id": b["item_id"], "coverage": [g[0] for g in got], "clauses": [g[1] for g in got], "stuffed": [g[2] for g in got], "marked": [g[2] > limit for g in got]})
+            ids, texts, room = [], [], 0
+            for i, t in zip(b["item_id"].tolist(), b["text"]):
+                ids.append(i)
+                texts.append(t if isinstance(t, str) else None)
+                room += len(texts[-1] or "")
+                if room > BATCH_CHARS:
+                    yield rows(ids, texts)
+                    ids, texts, room = [], [], 0
+            if ids:
+                yield rows(ids, texts)
 
     picked = df.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null")
     return picked.mapInPandas(run, "item_id bigint, coverage double, clauses double, stuffed double, marked boolean")

@@ -131,15 +131,50 @@ def brute_cover(xs, least):
     return out
 
 
-def test_cover_by_automaton_and_array():
+def cover_by_automaton(xs, least):
+    out = [False] * len(xs)
+    for end, size in enumerate(stuffing.repeated_lengths(xs), 1):
+        if size >= least:
+            out[end - size : end] = [True] * size
+    return out
+
+
+def test_cover_by_array_and_automaton():
     r = random.Random(2)
     for n in (0, 1, 2, 5, 24, 40):
         for k in (1, 2, 6):
             xs = [r.randrange(k) for _ in range(n)]
-            want = brute_cover(xs, 2)
-            assert stuffing.covered(xs, 2).tolist() == want
-            if n > 1:
-                assert stuffing.repeated_cover_by_array(xs, 2).tolist() == want
+            levels = stuffing.suffix_levels(np.asarray(xs, np.int64))
+            assert [sorted(range(n), key=lambda i: xs[i:]).index(i) for i in range(n)] == levels[-1].tolist()
+            for least in (2, 3):
+                want = brute_cover(xs, least)
+                assert cover_by_automaton(xs, least) == want
+                assert stuffing.covered(stuffing.longest_repeats(levels), least).tolist() == want
+
+
+def test_pages_of_a_batch_are_judged_apart():
+    pages = ["buy cheap script online script cheap free script " * 3, None, "", "Der Lauf endet, wenn der Index fehlt. Danach wird er neu gebaut.", "buy cheap script online script cheap free script " * 3]
+    assert stuffing.judge_all(pages) == [stuffing.judge(p) for p in pages]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Le chat dort sur le tapis pendant la nuit. La maison est grande et le jardin est petit. Nous avons vu le chat dans le jardin ce matin.",
+        "Kot śpi na dywanie przez całą noc. Dom jest duży, a ogród jest mały. Widzieliśmy kota w ogrodzie dziś rano.",
+        "猫は 夜 の 間 に 眠る。 家 は とても 大きい です。 庭 は 少し 小さい です。",
+    ],
+)
+def test_prose_of_any_language_is_not_marked(text):
+    assert stuffing.judge(text)[2] < 0.2
+
+
+def test_long_pages_by_the_same_steps():
+    words = "cheap script free tool best buy online app".split()
+    r = random.Random(8)
+    spam = " ".join(r.choice(words) for _ in range(300_000))
+    prose = " ".join(f"The w{k}x reads item v{k}y before part u{k}z starts." for k in range(30_000))
+    assert stuffing.judge(spam)[2] > 0.9 and stuffing.judge(prose)[2] < 0.1
 
 
 def test_pages(spark):
