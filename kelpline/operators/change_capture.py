@@ -1,44 +1,75 @@
 """Only new or changed records, run by run: log-based change capture.
 
-A feed is a log split into ``partitions`` by key hash; a record's offset is its insert id. A run
-writes its batch plan (the offset range of every partition) ahead of the work; a run that dies leaves
-plan without commit, and the next call replays that very plan before anything else. The sink keeps
-one row per (run, key), at the offset that set the key's current value, so replays repeat nothing.
+A feed is a log split into ``partitions`` by key hash; a record's offset is its insert id, which rises
+with the batches. A run's batch plan is one offset range per partition: from the end its partition had
+when a run last succeeded (excluded) to the last offset among the batches the run sees. Plans are written
+to a shared folder before any work and read back from there; a run takes the records inside its ranges and
+no others, whatever their batch number says. A run that dies leaves its plan without a commit, and the
+next call replays that very plan before it plans anything new: a record that arrived in between lies
+beyond the plan's end and waits. The sink keeps one row per (run, key), that of the offset which decided,
+and a replay overwrites its own rows, so nothing is skipped or repeated.
 
 Current value of a key: that of the record with the greatest (modified_at, insert_id) delivered so
 far; late records and records with a misleading ``modified_at`` are therefore judged by value, not
 by time. Defined results: records delivered again change nothing; null ``modified_at`` sorts below
-every number; a null hash is a value of its own; null keys and null batch numbers are never
-delivered; an empty feed or no succeeded run gives no rows; further columns are ignored.
+every number; a null hash is a value of its own; null keys, offsets and batch numbers are never
+delivered; runs that did not succeed yield nothing and leave their ranges to the next run; an empty
+feed or no succeeded run gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions.paths import canonical_path
-from kelpline.runtime import cut
+from kelpline.runtime import SharedFiles, cut, scratch
 
 PARTITIONS = 64
+#: Plans of at most this many ranges travel to the tasks whole; larger ones are joined by partition.
+PLAN_ROWS = 200_000
+#: Deltas of the state that may lie beside its base before they are folded into it.
+DELTAS = 16
 
 
 def normalise_feed(feed: DataFrame) -> DataFrame:
     path = canonical_path(F.col("path"))
-    return feed.select(path.alias("path"), F.col("hash").alias("hash"), F.col("modified_at").cast("long").alias("modified_at"), F.col("insert_id").cast("long").alias("insert_id"), F.col("batch_no").cast("int").alias("batch_no")).where("path is not null and batch_no is not null")
+    log = feed.select(path.alias("path"), F.col("hash").alias("hash"), F.col("modified_at").cast("long").alias("modified_at"), F.col("insert_id").cast("long").alias("insert_id"), F.col("batch_no").cast("int").alias("batch_no"))
+    return log.where("path is not null and batch_no is not null and insert_id is not null")
 
 
-def batch_plan(feed: DataFrame, runs: DataFrame) -> DataFrame:
-    """batch_no -> the succeeded run that is first to process it. One row per batch, no join with the records."""
-    done = runs.where("status = 'succeeded' and last_batch_no is not null").select(F.col("last_batch_no").cast("int").alias("batch_no"), F.col("run_id").cast("long").alias("run_id"))
-    batches = feed.select("batch_no").distinct().withColumn("run_id", F.lit(None).cast("long"))
-    later = Window.orderBy(F.col("batch_no").desc(), F.col("run_id").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = batches.unionByName(done).withColumn("first_run", F.min("run_id").over(later))
-    return both.where("run_id is null and first_run is not null").select("batch_no", F.col("first_run").alias("run_id"))
+def partition_of(partitions: int) -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(partitions)).cast("int")
+
+
+def offset_plan(log: DataFrame, runs: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
+    """(run_id, part, start, end) of every succeeded run: the offsets it takes from each partition, start excluded.
+
+    ``log`` is reduced to its last offset by (partition, batch) first; what a run sees ends at the
+    greatest of those up to its ``last_batch_no``.
+    """
+    done = runs.where("status = 'succeeded' and last_batch_no is not null").groupBy(F.col("run_id").cast("long").alias("run_id")).agg(F.max(F.col("last_batch_no").cast("int")).alias("batch_no"))
+    ends = log.groupBy(partition_of(partitions).alias("part"), "batch_no").agg(F.max("insert_id").alias("end"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("part")
+    both = ends.withColumn("run_id", F.lit(None).cast("long")).unionByName(done.select(parts, "batch_no", F.lit(None).cast("long").alias("end"), "run_id"))
+    seen = Window.partitionBy("part").orderBy("batch_no", F.col("run_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs_of = both.withColumn("end", F.max("end").over(seen)).where("run_id is not null")
+    # a run never falls behind the end of a run before it
+    before = Window.partitionBy("part").orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.max("end").over(before)
+    return runs_of.withColumn("start", start).where("end is not null and (start is null or end > start)").select("run_id", "part", "start", "end")
+
+
+def planned_records(log: DataFrame, plan: DataFrame, partitions: int, ranges: int) -> DataFrame:
+    """The records inside the ranges of a plan, each with the run that takes it; ``ranges`` is the number of its rows."""
+    plan = plan.select("run_id", "part", F.coalesce("start", F.lit(-(2**63))).alias("start"), "end")
+    if ranges <= PLAN_ROWS:
+        plan = F.broadcast(plan)  # its size is known: it was written by this run
+    inside = (F.col("insert_id") > F.col("start")) & (F.col("insert_id") <= F.col("end"))
+    return log.withColumn("part", partition_of(partitions)).join(plan, "part").where(inside).drop("start", "end")
 
 
 def fold_changes(records: DataFrame) -> DataFrame:
@@ -54,96 +85,101 @@ def fold_changes(records: DataFrame) -> DataFrame:
     return changed.select("run_id", "path", F.col("now.hash").alias("hash"), F.col("now.insert_id").alias("insert_id"), F.col("now.modified_at").alias("modified_at"))
 
 
-def offset_plan(log: DataFrame, runs: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
-    """(run_id, part, batch_no, start, end): the offset range of every batch in every partition, one row each."""
-    part = F.pmod(F.xxhash64("path"), F.lit(partitions)).cast("int")
-    ranges = log.groupBy("batch_no", part.alias("part")).agg(F.min("insert_id").alias("start"), F.max("insert_id").alias("end"))
-    return ranges.join(batch_plan(ranges, runs), "batch_no").select("run_id", "part", "batch_no", "start", "end")
-
-
 def changes_by_run(feed: DataFrame, runs: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
-    """All batches of all succeeded runs in one pass.
+    """(run_id, path, hash, insert_id, modified_at): the changes of all succeeded runs, from their plans in one pass.
 
-    The plan is written to the shared folder ahead of the work; lost tasks read it again and repeat
-    the same ranges. Its size is partitions times batches, whatever the number of records. The fold
-    keeps one row per (run, key), that of the deciding offset, so repeated deliveries add nothing.
+    The plan of every run is written ahead to the shared folder and read back; lost tasks read it again
+    and take the same ranges. Its size is partitions times runs, whatever the number of records.
     """
-    log = normalise_feed(feed)
-    plan = cut(offset_plan(log, runs, partitions))
-    part = F.pmod(F.xxhash64("path"), F.lit(partitions)).cast("int")
-    planned = log.withColumn("part", part).join(plan, ["part", "batch_no"]).where(F.col("insert_id").between(F.col("start"), F.col("end")))
-    return fold_changes(planned.select("run_id", "path", "modified_at", "insert_id", "hash"))
+    spark, log = feed.sparkSession, normalise_feed(feed)
+    where = scratch(spark, "plans")
+    offset_plan(log, runs, partitions).write.parquet(where)
+    plan = spark.read.parquet(where)
+    taken = planned_records(log, plan, partitions, plan.count())
+    return fold_changes(taken.select("run_id", "path", "modified_at", "insert_id", "hash"))
 
 
 @dataclass
 class ChangeCapture:
-    """The same, one run at a time, with its log in ``home`` (a folder all executors share)."""
+    """The same, one run at a time, with its plans, commits, state and sink in ``home``, a folder all executors share.
+
+    The state holds the deciding record of every key: a base and one delta per run, which holds only the
+    keys that moved; after ``DELTAS`` runs they become the next base. A run reads the state of its own keys.
+    """
 
     spark: SparkSession
     home: str
     partitions: int = PARTITIONS
 
-    def _file(self, kind: str, run_id: int) -> str:
-        return f"{self._local}/{kind}/{run_id:020d}.json"
-
-    @property
-    def _local(self) -> str:
-        return self.home.removeprefix("file://")
+    def __post_init__(self) -> None:
+        self.files = SharedFiles(self.spark, self.home)
 
     def _list(self, kind: str) -> list[int]:
-        folder = f"{self._local}/{kind}"
-        return sorted(int(x[:-5]) for x in os.listdir(folder) if x.endswith(".json")) if os.path.isdir(folder) else []
+        return [int(x[:-5]) for x in self.files.names(kind) if x.endswith(".json")]
 
     def _put(self, kind: str, run_id: int, body: dict) -> None:
-        path = self._file(kind, run_id)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path + ".tmp", "w") as f:
-            json.dump(body, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(path + ".tmp", path)
+        self.files.write(f"{kind}/{run_id:020d}.json", json.dumps(body))
 
     def _get(self, kind: str, run_id: int) -> dict:
-        with open(self._file(kind, run_id)) as f:
-            return json.load(f)
+        return json.loads(self.files.read(f"{kind}/{run_id:020d}.json"))
 
     def committed(self) -> list[int]:
         return self._list("commits")
 
-    def _part(self) -> F.Column:
-        return F.pmod(F.xxhash64("path"), F.lit(self.partitions)).cast("int")
-
     def plan(self, feed: DataFrame, run_id: int, last_batch_no: int) -> dict:
         """Writes the offset ranges ahead; at most ``partitions`` numbers reach the driver."""
         done = self.committed()
         start = self._get("plans", done[-1])["end"] if done else {}
-        floor = self._get("plans", done[-1])["last_batch_no"] if done else None
-        ends = normalise_feed(feed).where(F.col("batch_no") <= last_batch_no).groupBy(self._part().alias("part")).agg(F.max("insert_id").alias("end")).collect()
-        end = dict(start) | {str(r["part"]): max(r["end"], start.get(str(r["part"]), r["end"])) for r in ends}
-        body = {"run_id": run_id, "first_batch": floor, "last_batch_no": last_batch_no, "start": start, "end": end, "state": done[-1] if done else None}
+        seen = normalise_feed(feed).where(F.col("batch_no") <= last_batch_no).groupBy(partition_of(self.partitions).alias("part")).agg(F.max("insert_id").alias("end")).collect()
+        end = dict(start)
+        for r in seen:
+            end[str(r["part"])] = max(r["end"], start.get(str(r["part"]), r["end"]))
+        body = {"run_id": run_id, "start": start, "end": end, "after": done[-1] if done else None}
         self._put("plans", run_id, body)
         return body
 
+    def _state(self) -> DataFrame | None:
+        """The deciding record of every key, as of the last commit."""
+        done = self.committed()
+        if not done:
+            return None
+        last = self._get("commits", done[-1])
+        parts = [*([f"base/{last['base']}"] if last["base"] is not None else []), *(f"delta/{r}" for r in last["deltas"])]
+        return self.spark.read.parquet(*(f"{self.home}/state/{x}" for x in parts))
+
     def _execute(self, feed: DataFrame, plan: dict, fail_at: str | None = None) -> None:
-        log = normalise_feed(feed).where(F.col("batch_no") <= plan["last_batch_no"])
-        if plan["first_batch"] is not None:
-            log = log.where(F.col("batch_no") > plan["first_batch"])
-        new = log.select(F.lit(plan["run_id"]).cast("long").alias("run_id"), "path", "modified_at", "insert_id", "hash")
-        old = None
-        if plan["state"] is not None:
-            old = self.spark.read.parquet(f"{self.home}/state/{plan['state']}").withColumn("run_id", F.lit(plan["state"]).cast("long"))
-            new = new.unionByName(old.select(new.columns))
-        changed = fold_changes(new).where(F.col("run_id") == plan["run_id"])
+        run_id = plan["run_id"]
+        ranges = [(run_id, int(p), plan["start"].get(p), e) for p, e in plan["end"].items()]
+        plan_rows = self.spark.createDataFrame(ranges, "run_id bigint, part int, start bigint, end bigint")
+        new = planned_records(normalise_feed(feed), plan_rows, self.partitions, len(ranges)).select("run_id", "path", "modified_at", "insert_id", "hash")
+        old = self._state()
+        if old is not None:
+            known = old.join(new.select("path").distinct(), "path", "left_semi")
+            new = new.unionByName(known.select(F.lit(plan["after"]).cast("long").alias("run_id"), "path", "modified_at", "insert_id", "hash"))
         if fail_at == "before_sink":
             raise RuntimeError("run stopped before the sink")
-        changed.select("path", "hash", "insert_id", "modified_at").write.mode("overwrite").parquet(f"{self.home}/sink/run_id={plan['run_id']}")
+        changed = fold_changes(new).where(F.col("run_id") == run_id)
+        changed.select("path", "hash", "insert_id", "modified_at").write.mode("overwrite").parquet(f"{self.home}/sink/run_id={run_id}")
         if fail_at == "before_state":
             raise RuntimeError("run stopped before the state")
+        # of every key the run saw, the deciding record; keys it did not see keep theirs in older deltas
         best = new.groupBy("path").agg(F.max(F.struct("modified_at", "insert_id", "hash")).alias("b")).select("path", "b.modified_at", "b.insert_id", "b.hash")
-        best.write.mode("overwrite").parquet(f"{self.home}/state/{plan['run_id']}")
+        best.write.mode("overwrite").parquet(f"{self.home}/state/delta/{run_id}")
+        done = self.committed()
+        last = self._get("commits", done[-1]) if done else {"base": None, "deltas": []}
+        base, deltas = last["base"], [*last["deltas"], run_id]
+        if len(deltas) > DELTAS:
+            whole = best if old is None else old.select(best.columns).unionByName(self.spark.read.parquet(f"{self.home}/state/delta/{run_id}"))
+            whole = whole.groupBy("path").agg(F.max(F.struct("modified_at", "insert_id", "hash")).alias("b")).select("path", "b.modified_at", "b.insert_id", "b.hash")
+            whole.write.mode("overwrite").parquet(f"{self.home}/state/base/{run_id}")
+            base, deltas = run_id, []
         if fail_at == "before_commit":
             raise RuntimeError("run stopped before the commit")
-        self._put("commits", plan["run_id"], {"run_id": plan["run_id"]})
+        self._put("commits", run_id, {"run_id": run_id, "base": base, "deltas": deltas})
+        for gone in set(last["deltas"]) - set(deltas):
+            self.files.remove(f"state/delta/{gone}")
+        if last["base"] not in (None, base):
+            self.files.remove(f"state/base/{last['base']}")
 
     def run(self, feed: DataFrame, run_id: int, last_batch_no: int, fail_at: str | None = None) -> DataFrame:
         """Replays an open plan, then processes what is new up to ``last_batch_no``; returns this run's changes."""

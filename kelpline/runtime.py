@@ -51,5 +51,47 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+class SharedFiles:
+    """Small files of a folder all executors share, through Spark's own file system API (local, HDFS, object stores)."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm, self.root = spark._jvm, root.rstrip("/")
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._path(name))
+
+    def names(self, folder: str) -> list[str]:
+        """Names in a folder in order; none where it is missing."""
+        if not self.exists(folder):
+            return []
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self._path(folder)))
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self._path(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Puts a file in place as a whole: written aside, then renamed."""
+        aside = self._path(f"{name}.writing")
+        stream = self.fs.create(aside, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        self.fs.delete(self._path(name), False)
+        if not self.fs.rename(aside, self._path(name)):
+            raise OSError(f"cannot put {name} in place")
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

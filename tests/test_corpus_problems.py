@@ -124,3 +124,39 @@ def test_capture_survives_failures(spark, tmp_path, fail_at):
             log.run(rows, run, last)
     got = {(run, r.path) for run in log.committed() for r in log.changes(run).collect()}
     assert got == brute_changes(feed, RUN_ROWS)
+
+
+def test_a_record_between_plan_and_replay_waits_for_the_next_run(spark, tmp_path):
+    """The plan's offsets decide: a late record under an old batch number lies beyond the end of the open plan."""
+    feed = [(1, 1, "a", "h1", 1, "x"), (2, 1, "b", "h1", 1, "x"), (3, 2, "a", "h2", 2, "x")]
+    log = ChangeCapture(spark, str(tmp_path), partitions=4)
+    with pytest.raises(RuntimeError):
+        log.run(spark.createDataFrame(feed, FEED), 1, 2, fail_at="before_sink")
+    late = [*feed, (9, 1, "b", "h9", 9, "x"), (10, 2, "c", "h1", 1, "x")]
+    later = spark.createDataFrame(late, FEED)
+    assert {(r.path, r.hash) for r in log.run(later, 2, 2).collect()} == {("b", "h9"), ("c", "h1")}
+    assert {(r.path, r.hash) for r in log.changes(1).collect()} == {("a", "h2"), ("b", "h1")}
+    assert log.run(later, 3, 2).count() == 0
+    assert log.committed() == [1, 2, 3]
+
+
+def test_offsets_decide_the_run_of_a_record(spark):
+    """Batch numbers only bound what a run sees; a record inside a run's range is taken by that run."""
+    feed = [(1, 1, "a", "h1", 1, "x"), (2, 2, "a", "h2", 2, "x"), (5, 1, "a", "h3", 3, "x"), (7, 4, "a", "h4", 4, "x")]
+    runs = [(1, 1, "succeeded", None), (2, 2, "succeeded", None), (3, 4, "failed", None)]
+    got = {(r.run_id, r.hash) for r in changes_by_run(spark.createDataFrame(feed, FEED), spark.createDataFrame(runs, RUNS), partitions=1).collect()}
+    assert got == {(1, "h3")}
+
+
+def test_state_is_folded_after_some_runs(spark, tmp_path, monkeypatch):
+    from kelpline.operators import change_capture
+
+    monkeypatch.setattr(change_capture, "DELTAS", 2)
+    log = ChangeCapture(spark, str(tmp_path), partitions=2)
+    for k in range(1, 7):
+        rows = [(i, b, f"p{b % 3}", f"h{b // 2}", b, "x") for i, b in enumerate(range(1, k + 1), 1)]
+        log.run(spark.createDataFrame(rows, FEED), k, k)
+    runs = [(k, k, "succeeded", None) for k in range(1, 7)]
+    want = brute_changes(rows, runs)
+    assert {(run, r.path) for run in log.committed() for r in log.changes(run).collect()} == want
+    assert len(log.files.names("state/delta")) <= 2 and len(log.files.names("state/base")) == 1
