@@ -1,10 +1,11 @@
 """Mixing sources to target weights: temperature mixing realised as budgeted block permutations.
 
 Natural source shares s become weights q(t) proportional to s * (w / s) ** t; t = 0 keeps the natural
-mix, t = 1 is the target w. The exponent is bisected to the greatest t in [0, 1] at which no source
-would have to be repeated more than its limit within the token budget. Without a given budget the
-largest one is taken at which every target is reached exactly (t = 1). Without target weights the
-exponent of the plain temperature family s ** t is bisected to a target entropy.
+mix, t = 1 is the target w. Within a token budget the exponent is bisected to the greatest t at which no
+source would have to be repeated more than its limit; the source that binds there keeps its limit and the
+others go on, so that shares end as near to the targets as the limits allow. Without a given budget the
+largest one is taken at which every target is reached exactly. Without target weights the exponent of the
+plain temperature family s ** t is bisected to a target entropy (``entropy_weights``).
 
 A weight is realised as whole passes over the source plus one partial pass: records fall into hash
 blocks; whole blocks are taken in hash order while they fit, and only the block on the boundary is
@@ -62,14 +63,22 @@ def exponent_for_entropy(shares: list[float], target: float) -> float:
     return _bisect(lambda t: entropy(temper(shares, t)) >= target, 0.0, 64.0)
 
 
-def blend(natural: list[float], wanted: list[float], exponent: float) -> list[float]:
-    raw = [s * (w / s) ** exponent if s > 0 and w > 0 else (s if exponent == 0 else 0.0) for s, w in zip(natural, wanted)]
-    total = sum(raw) or 1.0
-    return [r / total for r in raw]
+def entropy_weights(tokens: list[int], target: float) -> tuple[list[float], float]:
+    """(weights, exponent) of the plain temperature family at a share of the greatest possible entropy."""
+    total = sum(tokens)
+    shares = [t / total if total else 0.0 for t in tokens]
+    live = sum(t > 0 for t in tokens)
+    exponent = exponent_for_entropy(shares, target * math.log(live)) if live > 1 else 1.0
+    return temper(shares, exponent), exponent
 
 
 def plan_weights(tokens: list[int], wanted: list[float], repeats: list[int], budget: float | None = None) -> tuple[list[float], float, float]:
-    """(weights, budget, exponent)."""
+    """(weights, budget, exponent).
+
+    With a budget the exponent rises from the natural mix towards the targets and is bisected to where the
+    first source meets its repetition limit; that source stays there, and the exponent of the others rises
+    on, until it is 1 or no source is left. Without one the largest budget is taken at which nothing is limited.
+    """
     live = [t > 0 and w > 0 for t, w in zip(tokens, wanted)]
     scale = sum(w for w, a in zip(wanted, live) if a)
     if not scale:
@@ -81,20 +90,30 @@ def plan_weights(tokens: list[int], wanted: list[float], repeats: list[int], bud
     if budget is None:
         return w, reach, 1.0
     budget = min(budget, sum(r * t for r, t, a in zip(repeats, tokens, live) if a))
-    fits = lambda e: all(q * budget <= r * t * (1 + 1e-12) for q, r, t in zip(blend(s, w, e), repeats, tokens))
-    if fits(0.0) or fits(1.0):
-        e = _bisect(fits, 0.0, 1.0)
-        return blend(s, w, e), budget, e
-    # beyond one whole natural pass some source is at its limit at any exponent: those stay there
-    q = blend(s, w, 1.0)
-    caps = [r * t / budget for r, t in zip(repeats, tokens)]
-    for _ in tokens:
-        fixed = [x >= c - 1e-15 for x, c in zip(q, caps)]
-        rest, room = sum(x for x, f in zip(q, fixed) if not f), 1 - sum(c for c, f in zip(caps, fixed) if f)
-        if rest <= 0:
-            break
-        q = [c if f else x * room / rest for x, c, f in zip(q, caps, fixed)]
-    return [min(x, c) for x, c in zip(q, caps)], budget, 1.0
+    if budget <= 0:
+        return [0.0] * len(tokens), 0.0, 0.0
+    caps = [r * t / budget if a else 0.0 for r, t, a in zip(repeats, tokens, live)]
+    limited, exponent = [not a for a in live], 0.0
+
+    def weights(e: float) -> list[float]:
+        room = 1.0 - sum(c for c, full in zip(caps, limited) if full)
+        raw = [0.0 if full else y * (x / y) ** e for x, y, full in zip(w, s, limited)]
+        scale = room / (sum(raw) or 1.0)
+        return [c if full else x * scale for x, c, full in zip(raw, caps, limited)]
+
+    over = lambda e: [x / c if c else 0.0 for x, c, full in zip(weights(e), caps, limited) if not full]
+    fits = lambda e: max(over(e), default=0.0) <= 1 + 1e-12
+    while not all(limited):
+        at = exponent
+        if fits(at):
+            exponent = _bisect(fits, at, 1.0)
+            if exponent >= 1.0:
+                break
+            at = min(1.0, exponent + 1e-9)
+        # the source that would be repeated too often just beyond stays at its limit
+        share = [-1.0 if full else x / c for x, c, full in zip(weights(at), caps, limited)]
+        limited[share.index(max(share))] = True
+    return weights(exponent), budget, exponent
 
 
 def _fill_room(part: pd.DataFrame) -> pd.DataFrame:
@@ -107,9 +126,13 @@ def _fill_room(part: pd.DataFrame) -> pd.DataFrame:
     return part.drop(columns="room").assign(extra=np.array(extra, np.int32))
 
 
-def mix(records: DataFrame, weights: DataFrame, budget: float | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix(records: DataFrame, weights: DataFrame, budget: float | str | None = None, seed: int = 17, entropy_share: float | None = None) -> tuple[DataFrame, DataFrame]:
     """``records``: (item_id, source, n_tokens); ``weights``: (source, target_share, max_repeats).
 
+    ``budget``: tokens to draw; "natural" stands for all tokens of the weighted sources. With
+    ``entropy_share`` the targets are not the given ones but those of the temperature family whose
+    entropy is that share of the greatest possible.
+
     Returns the mixture (source, item_id, pass_no, n_tokens, order_key; read in order of pass and key)
     and the report by source (target_share, actual_share, tokens, available_tokens, repeats).
     """
@@ -120,13 +143,18 @@ def mix(records: DataFrame, weights: DataFrame, budget: float | None = None, see
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} weighted sources")
     tokens = [int(have.get(r["source"], (0, 0))[0] or 0) for r in rows]
-    q, total, _ = plan_weights(tokens, [float(r["w"] or 0) for r in rows], [max(0, int(r["r"])) for r in rows], budget)
+    wanted = [float(r["w"] or 0) for r in rows]
+    if entropy_share is not None:
+        wanted, _ = entropy_weights([t if w > 0 else 0 for t, w in zip(tokens, wanted)], entropy_share)
+    if budget == "natural":
+        budget = float(sum(t for t, w in zip(tokens, wanted) if w > 0)) or None
+    q, total, _ = plan_weights(tokens, wanted, [max(0, int(r["r"])) for r in rows], budget)
     plan = []
-    for r, t, share in zip(rows, tokens, q):
+    for r, t, w, share in zip(rows, tokens, wanted, q):
         want = share * total
         passes = min(int(want / t + 1e-12), int(r["r"])) if t else 0
         partial = max(0.0, want - passes * t) if t and passes < int(r["r"]) else 0.0
-        plan.append((r["source"], float(r["w"] or 0), t, passes, float(partial), max(1, have.get(r["source"], (0, 1))[1] // PER_BLOCK + 1)))
+        plan.append((r["source"], w, t, passes, float(partial), max(1, have.get(r["source"], (0, 1))[1] // PER_BLOCK + 1)))
     plan_df = spark.createDataFrame(plan, "source string, target_share double, available_tokens bigint, passes int, part double, blocks int")
     drawn = rec.where("n_tokens > 0").join(F.broadcast(plan_df), "source")  # at most MOST_SOURCES rows
     key = F.xxhash64(F.lit(seed), F.col("item_id"))

@@ -121,18 +121,33 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, DataFrame]:
     counts = tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     named = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "source")
-    return mixing.mix(counts.join(named, "item_id"), table(spark, sf_dir, "source_weights"))
+    return mixing.mix(counts.join(named, "item_id"), table(spark, sf_dir, "source_weights"), **how)
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir)[0].select("source", F.col("item_id").alias("doc_id"), "pass_no", "n_tokens", "order_key")
+    """As many tokens as the weighted sources hold: the exponent is bisected against the repetition limits."""
+    return _mixed(spark, sf_dir, budget="natural")[0].select("source", F.col("item_id").alias("doc_id"), "pass_no", "n_tokens", "order_key")
+
+
+def _shares(report: DataFrame) -> DataFrame:
+    return report.select("source", F.round("target_share", 6).alias("target_share"), F.round("actual_share", 6).alias("actual_share"), "tokens", "available_tokens", "repeats")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir)[1].select("source", "target_share", F.round("actual_share", 6).alias("actual_share"), "tokens", "available_tokens", "repeats")
+    return _shares(_mixed(spark, sf_dir, budget="natural")[1])
+
+
+def p9_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No budget: all targets exactly, as far as the scarcest source goes."""
+    return _shares(_mixed(spark, sf_dir)[1])
+
+
+def p9_entropy_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets from the temperature family at 0.95 of the greatest entropy, its exponent bisected."""
+    return _shares(_mixed(spark, sf_dir, budget="natural", entropy_share=0.95)[1])
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +167,7 @@ QUERIES = {
     "p6_found": p6_found, "p6_origin": p6_origin,
     "p7_found": p7_found, "p7_neighbours": p7_neighbours,
     "p8_found": p8_found, "p8_pack": p8_pack, "p8_fill": p8_fill,
-    "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares, "p9_entropy_shares": p9_entropy_shares,
     "p10_found": p10_found, "p10_scores": p10_scores,
 }
 

@@ -96,11 +96,31 @@ def test_temperature():
     q, total, e = mixing.plan_weights([1000, 100, 0], [0.5, 0.4, 0.1], [1, 2, 4])
     assert q == pytest.approx([5 / 9, 4 / 9, 0]) and total == pytest.approx(450) and e == 1
     q, total, e = mixing.plan_weights([1000, 100], [0.5, 0.5], [1, 2], budget=800)
-    assert 0 < e < 1 and q[1] * total == pytest.approx(200, rel=1e-6)
+    assert q[1] * total == pytest.approx(200, rel=1e-6) and sum(q) == pytest.approx(1)
     q, total, _ = mixing.plan_weights([1000, 100], [0.5, 0.5], [1, 2], budget=10**6)
     assert total == 1200 and [x * total for x in q] == pytest.approx([1000, 200])
 
 
+def test_limited_sources_stay_at_their_limit_and_the_others_reach_their_targets():
+    tokens, wanted, repeats = [800, 100, 100], [0.2, 0.5, 0.3], [1, 1, 4]
+    q, total, e = mixing.plan_weights(tokens, wanted, repeats, budget=1000)
+    assert e == 1 and q == pytest.approx([0.5, 0.1, 0.4])
+    r = random.Random(6)
+    for _ in range(50):
+        n = r.randrange(1, 7)
+        tokens, wanted, repeats = [r.choice([0, r.randrange(1, 1000)]) for _ in range(n)], [r.choice([0, r.random()]) for _ in range(n)], [r.randrange(0, 4) for _ in range(n)]
+        budget = r.randrange(1, 3000)
+        q, total, e = mixing.plan_weights(tokens, wanted, repeats, budget=budget)
+        live = [t * k if w > 0 else 0 for t, k, w in zip(tokens, repeats, wanted)]
+        assert all(x * total <= c * (1 + 1e-6) + 1e-6 for x, c in zip(q, live))
+        assert total <= budget + 1e-9 and (not any(live) or sum(q) == pytest.approx(1) and total == pytest.approx(min(budget, sum(live))))
+
+
+def test_entropy_weights():
+    q, e = mixing.entropy_weights([700, 200, 100, 0], 0.95)
+    assert mixing.entropy(q) == pytest.approx(0.95 * np.log(3), abs=1e-6) and 0 < e < 1 and q[3] == 0
+
+
 def test_mix(spark):
     r = random.Random(4)
     rec = [(i, r.choice(["big", "Big ", "small", None, "other"]), r.randrange(1, 50)) for i in range(2000)] + [(9999, "small", 0)]
