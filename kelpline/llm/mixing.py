@@ -13,7 +13,7 @@ cut, in permutation order, by what still fits. Every pass has its own permutatio
 
 Defined results: source names are compared trimmed and in lower case; null sources and sources
 without a weight contribute nothing; weighted sources without tokens are reported with share 0 and
-the other weights are scaled up; a null ``max_repeats`` means 1; records without tokens are never
+the other weights are scaled up; a null ``max_repeats`` means 1, and 0 leaves a source out; records without tokens are never
 drawn; an empty table gives an empty mixture.
 """
 
@@ -79,7 +79,7 @@ def plan_weights(tokens: list[int], wanted: list[float], repeats: list[int], bud
     first source meets its repetition limit; that source stays there, and the exponent of the others rises
     on, until it is 1 or no source is left. Without one the largest budget is taken at which nothing is limited.
     """
-    live = [t > 0 and w > 0 for t, w in zip(tokens, wanted)]
+    live = [t > 0 and w > 0 and r > 0 for t, w, r in zip(tokens, wanted, repeats)]
     scale = sum(w for w, a in zip(wanted, live) if a)
     if not scale:
         return [0.0] * len(tokens), 0.0, 1.0
