@@ -1,10 +1,11 @@
 """Filling fixed-capacity containers with items: pattern packing by non-negative least squares.
 
-Sizes are counted into classes (the histogram is bounded by the capacity, not by the data); patterns
-of few classes that fill a container are enumerated; repeat counts are fitted to the histogram by
-non-negative least squares and rounded down; items get their pattern slot by their number within the
-class; what is left, and items too small for few-item patterns, is packed best-fit in bounded blocks,
-first into the room that fitted containers have left.
+Items of less than an eighth of the capacity are gathered first, in bounded blocks, into bundles of up to a
+quarter; a third of them stays loose to fill what is left over. Bundles and larger items are units. Unit
+sizes are counted into classes (the histogram is bounded by the number of classes, not by the data);
+patterns of few classes that fill a container are enumerated; repeat counts are fitted to the histogram by
+non-negative least squares and rounded down; units get their pattern slot by their number within the
+class. What is left is packed best-fit in bounded blocks, first into the room that patterns have left.
 
 Defined results: an item longer than the capacity is split into full pieces and one remainder, no
 other item is split; an item of size 0 (empty or null text) occupies no container (null
@@ -29,6 +30,8 @@ CLASSES = 40
 MOST_ITEMS = 4
 LEAST_FILL = 0.95
 BLOCK = 20_000
+#: Bundles hold up to this part of a container; items of half of that are bundled, but for one in LOOSE.
+BUNDLE, LOOSE = 4, 3
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -102,8 +105,8 @@ def fit(histogram: dict[int, int], tops: list[int], capacity: int) -> list[tuple
     return [(a[:, p].astype(int), int(x[p])) for p in np.nonzero(x)[0]]
 
 
-def _best_fit(capacity: int):
-    """Best fit of a block's items, longest first, into the room its fitted containers left over and then new ones."""
+def _best_fit(capacity: int, name: str):
+    """Best fit of a block's items, longest first, into the room of open containers and then into new ones."""
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         block = part["block"].iloc[0]
@@ -118,7 +121,7 @@ def _best_fit(capacity: int):
                 room, c = rooms.pop(at)
             else:
                 room, c = capacity, len(names)
-                names.append(f"r{block}-{c}")
+                names.append(f"{name}{block}-{c}")
             where.append(names[c])
             if room > size:
                 bisect.insort(rooms, (room - size, c))
@@ -139,38 +142,44 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     empty = items.where("n = 0").select("item_id", F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("string").alias("container"))
     width = capacity / CLASSES
     tops = [min(capacity, int(np.floor((j + 1) * width))) for j in range(CLASSES)]
-    small = int(capacity / (2 * MOST_ITEMS))
-    edges = F.array(*[F.lit(t) for t in tops])
+    part, hashed = max(1, capacity // BUNDLE), F.xxhash64("item_id")
     loose = items.where(rest > 0).select("item_id", full.alias("piece"), (full * capacity).cast("bigint").alias("start"), rest.cast("bigint").alias("size"))
-    loose = cut(loose.withColumn("class", F.size(F.filter(edges, lambda t: t < F.col("size")))))
-    histogram = {r["class"]: r["n"] for r in loose.where(F.col("size") > small).groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
-    fitted = fit(histogram, tops, capacity)
+    loose = cut(loose.withColumn("small", F.col("size") * 2 <= part).withColumn("kept", F.pmod(hashed, F.lit(LOOSE)) == 0))
+    n = {(r["small"], r["kept"]): r["n"] for r in loose.groupBy("small", "kept").agg(F.count(F.lit(1)).alias("n")).collect()}
+    none, blocks = F.lit(None).cast("string"), n.get((True, False), 0) // BLOCK + 1
+    # the block must not follow from the hash that kept items back
+    spread = F.pmod(F.xxhash64("item_id", F.lit(1)), F.lit(blocks)).alias("block")
+    gather = loose.where("small and not kept").select("item_id", "piece", "start", "size", none.alias("container"), spread)
+    bundled = gather.groupBy("block").applyInPandas(_best_fit(part, "b"), _OUT).withColumnRenamed("container", "unit")
+    single = loose.where("not small").select("item_id", "piece", "start", "size", F.concat(F.lit("i"), "item_id").alias("unit"))
+    members = cut(bundled.unionByName(single))
+    edges = F.array(*[F.lit(t) for t in tops])
+    units = members.groupBy("unit").agg(F.sum("size").alias("size")).withColumn("class", F.size(F.filter(edges, lambda t: t < F.col("size"))))
+    histogram = {r["class"]: r["n"] for r in units.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most CLASSES rows
     slots: dict[int, list] = {}
     base, taken = 0, np.zeros(CLASSES, int)
-    for counts, repeats in fitted:
+    for counts, repeats in fit(histogram, tops, capacity):
         for j in np.nonzero(counts)[0]:
             a = int(counts[j])
             slots.setdefault(int(j), []).append((int(taken[j]), int(taken[j]) + a * repeats, a, base))
             taken[j] += a * repeats
         base += repeats
-    big = numbered(loose.where(F.col("size") > small), ["class"], "item_id", sum(histogram.values()))
-    if slots:
-        rows = [(j, s) for j, s in slots.items()]  # at most CLASSES rows of at most as many ranges
-        ranges = sizes.sparkSession.createDataFrame(rows, "class int, slots array<struct<lo:bigint,hi:bigint,each:bigint,base:bigint>>")
-        big = big.join(F.broadcast(ranges), "class", "left")
-        hit = F.get(F.filter("slots", lambda s: (s["lo"] <= F.col("k")) & (F.col("k") < s["hi"])), F.lit(0))
-        big = big.withColumn("hit", hit).drop("slots")
-    else:
-        big = big.withColumn("hit", F.lit(None).cast("struct<lo:bigint,hi:bigint,each:bigint,base:bigint>"))
-    placed = big.where("hit is not null").select("item_id", "piece", "start", "size", F.concat(F.lit("p"), F.col("hit.base") + F.floor((F.col("k") - F.col("hit.lo")) / F.col("hit.each"))).alias("container"))
-    left = big.where("hit is null").select("item_id", "piece", "start", "size").unionByName(loose.where(F.col("size") <= small).select("item_id", "piece", "start", "size"))
-    placed = cut(placed)
-    blocks = max(1, int(loose.count() - int(taken.sum())) // BLOCK + 1, base // BLOCK + 1)
-    left = left.withColumn("container", F.lit(None).cast("string")).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    ranges = sizes.sparkSession.createDataFrame(list(slots.items()), "class int, slots array<struct<lo:bigint,hi:bigint,each:bigint,base:bigint>>")
+    # at most CLASSES rows of at most as many ranges
+    counted = numbered(units, ["class"], "unit", sum(histogram.values())).join(F.broadcast(ranges), "class")
+    hit = F.get(F.filter("slots", lambda s: (s["lo"] <= F.col("k")) & (F.col("k") < s["hi"])), F.lit(0))
+    slotted = counted.withColumn("hit", hit).where("hit is not null")
+    slotted = slotted.select("unit", F.concat(F.lit("p"), F.col("hit.base") + F.floor((F.col("k") - F.col("hit.lo")) / F.col("hit.each"))).alias("container"))
+    placed = cut(members.join(slotted, "unit", "left"))
+    still = placed.where("container is null").select("item_id", "piece", "start", "size").unionByName(loose.where("small and kept").select("item_id", "piece", "start", "size"))
+    placed = placed.where("container is not null").select("item_id", "piece", "start", "size", "container")
+    over = n.get((True, True), 0) + sum(histogram.values()) - int(taken.sum())
+    blocks = max(1, over // BLOCK + 1, base // BLOCK + 1)
+    left = still.withColumn("container", none).withColumn("block", F.pmod(F.xxhash64("item_id", F.lit(2)), F.lit(blocks)))
     room = placed.groupBy("container").agg((F.lit(capacity) - F.sum("size")).alias("size")).where("size > 0")
-    none = F.lit(None).cast("bigint")
-    room = room.select(none.alias("item_id"), none.alias("piece"), none.alias("start"), "size", "container", F.pmod(F.xxhash64("container"), F.lit(blocks)).alias("block"))
-    packed = left.unionByName(room).groupBy("block").applyInPandas(_best_fit(capacity), _OUT)
+    no_id = F.lit(None).cast("bigint")
+    room = room.select(no_id.alias("item_id"), no_id.alias("piece"), no_id.alias("start"), "size", "container", F.pmod(F.xxhash64("container"), F.lit(blocks)).alias("block"))
+    packed = left.unionByName(room).groupBy("block").applyInPandas(_best_fit(capacity, "r"), _OUT)
     return whole.unionByName(empty).unionByName(placed).unionByName(packed)
 
 

@@ -13,8 +13,8 @@ SCORES = ["recency", "relevance", "centrality", "git_activity"]
 
 
 def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = leximin.leximin(table(spark, sf_dir, "file_scores"), "query_id", "path", SCORES)
-    return ranked.select(F.col("q").alias("query_id"), F.col("item").alias("path"), *[F.round(F.col("key")[i], 6).alias(f"p{i + 1}") for i in range(len(SCORES))])
+    ranked = leximin.ranked(leximin.leximin(table(spark, sf_dir, "file_scores"), "query_id", "path", SCORES))
+    return ranked.select(F.col("q").alias("query_id"), F.col("item").alias("path"), F.col("rank").cast("bigint").alias("rank"), *[F.round(F.col("key")[i], 6).alias(f"p{i + 1}") for i in range(len(SCORES))])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,6 +182,6 @@ own AS (SELECT l.query_id, l.path, l.k, r.p, coalesce(avg(r.p) OVER (PARTITION B
 keys AS (SELECT query_id, path, list_sort(list(round(coalesce(p, a), 9))) AS key FROM own GROUP BY ALL)"""
 
 ORACLE = {
-    "p2_ranking": _PERCENTILES + " SELECT query_id, path, round(key[1], 6) AS p1, round(key[2], 6) AS p2, round(key[3], 6) AS p3, round(key[4], 6) AS p4 FROM keys",
+    "p2_ranking": _PERCENTILES + " SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY key[1] DESC, key[2] DESC, key[3] DESC, key[4] DESC, path) AS rank, round(key[1], 6) AS p1, round(key[2], 6) AS p2, round(key[3], 6) AS p3, round(key[4], 6) AS p4 FROM keys",
     "p2_found": _PERCENTILES + " SELECT query_id, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY key[1] DESC, key[2] DESC, key[3] DESC, key[4] DESC, path) AS rn FROM keys) WHERE rn <= 5",
 }

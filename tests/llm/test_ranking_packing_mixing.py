@@ -38,13 +38,13 @@ def brute_leximin(rows):
     return out
 
 
-@pytest.mark.parametrize("blocks", [2, 64])
-def test_leximin_matches_brute_force(spark, blocks):
+@pytest.mark.parametrize("blocks,hot_rows", [(2, 0), (64, 60), (64, 500_000)])
+def test_leximin_matches_brute_force(spark, blocks, hot_rows):
     r = random.Random(5)
     rows = [(r.choice([1, 2, None]), f"i{r.randrange(40)}", r.choice([None, float("nan"), r.random(), 3.0]), r.choice([None, r.random() * 1e9, -7.0]), "x") for _ in range(150)]
     rows += rows[:20] + [(9, "alone", None, 1.0, None)]
     df = spark.createDataFrame(rows, "query_id bigint, item string, a double, b double, key string")
-    ranked = leximin.leximin(df, "query_id", "item", SCORES, blocks)
+    ranked = leximin.leximin(df, "query_id", "item", SCORES, blocks, hot_rows)
     got = {(x.q, x.item): list(x.key) for x in ranked.collect()}
     want = brute_leximin(rows)
     assert got.keys() == want.keys()
@@ -53,7 +53,11 @@ def test_leximin_matches_brute_force(spark, blocks):
     for q in {k[0] for k in want}:
         order = sorted((k for k in want if k[0] == q), key=lambda k: ([-x for x in want[k]], k[1]))[:3]
         assert [k[1] for k in order] == [x.item for x in sorted((t for t in top if t.q == q), key=lambda t: t.rank)]
-    assert leximin.leximin(df.limit(0), "query_id", "item", SCORES).count() == 0
+    ranks = {(x.q, x.item): x.rank for x in leximin.ranked(ranked).collect()}
+    for q in {k[0] for k in want}:
+        order = sorted((k for k in want if k[0] == q), key=lambda k: ([-x for x in want[k]], k[1]))
+        assert [ranks[k] for k in order] == list(range(1, len(order) + 1))
+    assert leximin.ranked(leximin.leximin(df.limit(0), "query_id", "item", SCORES)).count() == 0
 
 
 def test_nnls_and_fit():
@@ -85,6 +89,8 @@ def test_pack_keeps_everything(spark, capacity):
         assert sum(x["size"] for x in pieces) == n and (len(pieces) == 1 or n > capacity)
         assert all(a.start + a["size"] == b.start for a, b in zip(pieces, pieces[1:]))
     assert sum(n for _, n in rows) / (len(per_container) * capacity) > 0.95
+    patterned = sum(x["size"] for x in out if (x.container or "").startswith("p"))
+    assert patterned > 0.5 * sum(n % capacity for _, n in rows)
     assert packing.pack(spark.createDataFrame([], "item_id bigint, n_tokens bigint"), capacity).count() == 0
 
 
