@@ -91,6 +91,13 @@ def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, F.col("id") % 20 == 0, 64, k=5)
 
 
+def p7_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the five nearest of every row whose id is divisible by 20, by brute force in blocks, how many p7_neighbours finds."""
+    vectors = cut(neighbours.clean_vectors(table(spark, sf_dir, "chunk_embeddings"), 64))
+    asked = F.col("id") % 20 == 0
+    return neighbours.recall(neighbours.nearest(vectors, asked, 64, k=5), neighbours.exact_nearest(vectors, asked, 64, k=5))
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -165,7 +172,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates,
     "p4_found": p4_found, "p4_masked": p4_masked,
     "p6_found": p6_found, "p6_origin": p6_origin,
-    "p7_found": p7_found, "p7_neighbours": p7_neighbours,
+    "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p7_recall": p7_recall,
     "p8_found": p8_found, "p8_pack": p8_pack, "p8_fill": p8_fill,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares, "p9_entropy_shares": p9_entropy_shares,
     "p10_found": p10_found, "p10_scores": p10_scores,
