@@ -3,9 +3,10 @@
 The anchors of all token formats, key armor, connection strings and credential names form one
 deterministic automaton (a 256-column transition table over case-folded characters). A batch of texts
 is one buffer cut into overlapping chunks that advance through the table in lockstep; hits have
-absolute positions and are deduplicated. At each hit the grammar of its anchor decides the exact span
-of the secret, and a judgement by value drops placeholders, masked values, references, patterns,
-checksums, paths and public material. Literals split by ``+`` are read joined. Masking splices
+absolute positions and are deduplicated. Behind a hit the body of its format is read in steps of
+literals and counted classes (``BODIES``), counters beside the state, to whatever length it has; key
+armor and assignments to credential names have grammars of their own. A judgement by value drops
+placeholders, masked values, references, patterns, checksums, paths and public material. Literals split by ``+`` are read joined. Masking splices
 ``REDACTED`` placeholders over the secret characters alone; quotes and separators stay.
 
 Defined results: null and empty texts hold nothing; whole texts are scanned whatever their length;
@@ -33,32 +34,83 @@ ANCHORS = {
     "slack": ["xoxb-", "xoxp-", "xoxa-", "xoxs-", "xoxr-"],
     "google": ["aiza"],
     "stripe": ["sk_live_", "sk_test_", "rk_live_", "rk_test_"],
-    "package": ["npm_", "pypi-", "sk-"],
+    "npm": ["npm_"],
+    "pypi": ["pypi-"],
+    "sk": ["sk-"],
     "jwt": ["eyj"],
     "armor": ["private key-----"],
     "url": ["://"],
     "bearer": ["bearer "],
     "basic": ["basic "],
-    "name": ["pass", "pwd", "secret", "token", "key", "auth", "credential"],
-}
-_W = r"(?<![A-Za-z0-9])"
-GRAMMAR = {
-    "aws": re.compile(_W + r"((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])"),
-    "github": re.compile(_W + r"(gh[pousr]_[A-Za-z0-9]{36,})(?![A-Za-z0-9])"),
-    "gitlab": re.compile(_W + r"(glpat-[A-Za-z0-9_-]{20,})"),
-    "slack": re.compile(_W + r"(xox[bpasr]-\d{6,}-\d{6,}(?:-\d{6,})?-[A-Za-z0-9]{16,})"),
-    "google": re.compile(_W + r"(AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])"),
-    "stripe": re.compile(_W + r"([sr]k_(?:live|test)_[A-Za-z0-9]{16,})"),
-    "package": re.compile(_W + r"(npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,}|sk-[A-Za-z0-9_-]{32,})(?![A-Za-z0-9])"),
-    "jwt": re.compile(_W + r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
-    "url": re.compile(r"([^\s:/@\"'`<>]*):([^\s@/\"'`]+)@[A-Za-z0-9\[$({]"),
-    "bearer": re.compile(r"[Bb]earer ([A-Za-z0-9._~+/=-]{20,})"),
-    "basic": re.compile(r"[Bb]asic ([A-Za-z0-9+/_-]{8,}={0,2})"),
+    "login": [" -u", " --user"],
+    "flag": [" -p"],
+    "name": ["pass", "pwd", "pw", "secret", "token", "key", "auth", "credential"],
 }
+#: Bodies of the formats: what follows the anchor, in steps. A step is a literal, or a class of characters with
+#: the least and the greatest number of them; the number is a counter beside the state of the automaton, so
+#: that counted bodies add no states. `^` starts a new secret before the anchor, `<` where the secret begins
+#: otherwise, `>` where it ends, `!` a class that may not follow.
+_ALNUM, _WORD = "A-Za-z0-9", r"A-Za-z0-9_-"
+BODIES = {
+    "aws": [("^",), ("A-Z0-9", 16, 16), (">",), ("!", _ALNUM)],
+    "github": [("^",), (_ALNUM, 36, None), (">",), ("!", _ALNUM)],
+    "gitlab": [("^",), (_WORD, 20, None), (">",)],
+    "slack": [("^",), ("0-9", 6, None), "-", ("0-9", 6, None), "-", ("A-Za-z0-9-", 16, None), (">",)],
+    "google": [("^",), (_WORD, 35, 35), (">",), ("!", _WORD)],
+    "stripe": [("^",), (_ALNUM, 16, None), (">",)],
+    "npm": [("^",), (_ALNUM, 36, 36), (">",), ("!", _ALNUM)],
+    "pypi": [("^",), (_WORD, 50, None), (">",), ("!", _ALNUM)],
+    "sk": [("^",), (_WORD, 32, None), (">",), ("!", _ALNUM)],
+    "jwt": [("^",), (_WORD, 8, None), ".", (_WORD, 8, None), ".", (_WORD, 8, None), (">",)],
+    "url": [(r"^\s:/@\"'`<>", 0, None), ":", ("<",), (r"^\s@/\"'`", 1, None), (">",), "@", (r"A-Za-z0-9\[$({", 1, 1)],
+    "bearer": [("<",), ("A-Za-z0-9._~+/=-", 20, None), (">",)],
+    "basic": [("<",), ("A-Za-z0-9+/_-", 8, None), ("=", 0, 2), (">",)],
+    "login": [("\"' =", 0, 2), ("A-Za-z0-9._-", 1, None), ":", ("<",), (r"^\s\"'`@:", 6, None), (">",)],
+    "flag": [("<",), (r"^\s\"'`;|&<>", 8, None), (">",)],
+}
+_RUNS: dict[str, re.Pattern] = {}
+
+
+def body_span(kind: str, text: str, start: int, at: int) -> tuple[int, int] | None:
+    """The span of the secret whose anchor stands at ``start`` and ends before ``at``; None where its body does not hold."""
+    lo = hi = None
+    for step in BODIES[kind]:
+        if isinstance(step, str):
+            if not text.startswith(step, at):
+                return None
+            at += len(step)
+        elif step[0] == "^" and len(step) == 1:
+            lo = start
+            if start and text[start - 1].isascii() and text[start - 1].isalnum():
+                return None
+        elif step == ("<",):
+            lo = at
+        elif step == (">",):
+            hi = at
+        elif step[0] == "!":
+            if _run(step[1]).match(text, at).end() > at:
+                return None
+        else:
+            chars, least, most = step
+            end = _run(chars).match(text, at).end()
+            end = end if most is None else min(end, at + most)
+            if end - at < least:
+                return None
+            at = end
+    return lo, hi
+
+
+def _run(chars: str) -> re.Pattern:
+    known = _RUNS.get(chars)
+    if known is None:
+        known = _RUNS[chars] = re.compile(f"[{chars}]*+")
+    return known
+
+
 _ARMOR = re.compile(r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----((?:\\[nr]|[A-Za-z0-9+/=\s]|[\"'+,]|[A-Z][A-Za-z-]+: [^\n]*)+?)(?:-----END|$)")
 _ASSIGN = re.compile(
     r"(?P<name>--[A-Za-z][\w-]*(?=[ =])|[A-Za-z_][\w.-]*|(?<=/ )[a-z]+)[\"'`]?\)?(?:\s*:\s*&?(?:'static\s+)?[sS]tr(?:ing)?\b)?(?:\[\d*\])?"
-    r"(?:\s*(?:=>|:=|\|\||\?\?|[:=]|,(?=\s*(?:\.\w+\s*=\s*)?[\"'`]))\s*(?:\.\w+\s*=\s*)?|(?<=\w)\s+(?=(?P<cli>[\"'`]|\S*\d)))"
+    r"(?:\s*(?:=>|:=|\|\||\?\?|[:=]|,(?=\s*(?:\.\w+\s*=\s*)?[\"'`]))\s*(?:\.\w+\s*=\s*)?|\s+is\s+(?=\S*\d)|(?<=\w)\s+(?=(?P<cli>[\"'`]|\S*\d)))"
     r"(?:(?P<q>[\"'`])(?P<quoted>(?:(?!(?P=q))[^\n\\])*)(?P=q)|(?P<plain>[^\s\"'`,;&<>(){}\[\]]+)(?=[\s\"'`,;&)}\]]|$))"
 )
 _SCHEME = re.compile(r"[A-Za-z0-9+.-]")
@@ -68,7 +120,7 @@ _NEXT_QUOTED = re.compile(r"\s*([\"'`])(?:(?!\1)[^\n\\])*\1")
 _QUERY = re.compile(r"[?&]([A-Za-z_][\w.-]*)=([^&\s\"'`<>#]+)")
 _SPLIT = re.compile(r"([\"'`])\s*\+\s*\1")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_CRED = frozenset("pass password passwd passphrase pwd secret token apikey authkey credential credentials accesskey accountkey".split())
+_CRED = frozenset("pass pw password passwd passphrase pwd secret token apikey authkey credential credentials accesskey accountkey".split())
 _KEY_OF = frozenset("api access secret auth private client account encryption signing hmac master deploy".split())
 _OPEN_KEYS = frozenset("public verify primary foreign sort partition cache idempotency row group unique routing cipher host known map object json".split())
 _NOT_A_VALUE = frozenset("path ref label hint help pattern regex name file id url uri type len length count hash digest checksum sum field header policy ttl expiry prompt title text placeholder doc docs index kind size limit env var version format rotation provider store manager vault role arn public".split())
@@ -79,6 +131,10 @@ _CODE_NAME = re.compile(r"^[a-z_]+\d{0,3}$|^[A-Z_]+\d{0,3}$|^[a-z]+(?:[A-Z][a-z]
 _UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
 
 
+#: Anchors whose case matters, as they are written.
+_CASED = {"aws": ("AKIA", "ASIA"), "google": ("AIza",), "jwt": ("eyJ",), **{k: tuple(ANCHORS[k]) for k in ("github", "gitlab", "slack", "stripe", "npm", "pypi", "sk")}}
+
+
 def build_automaton() -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(table of 256 columns a state, bit set of grammars a state accepts, grammar names)."""
     kinds = list(ANCHORS)
@@ -149,7 +205,8 @@ def plausible(value: str) -> bool:
     if _PLACEHOLDER.search(value) or _PATTERN.search(value) or _PATH.match(value) or _UUID.match(value) or "://" in value:
         return False
     digit, upper, lower = any(c.isdigit() for c in value), any(c.isupper() for c in value), any(c.islower() for c in value)
-    return digit and (upper or lower) or (upper and lower and len(value) >= 20) or (digit and len(value) >= 12)
+    marked = len(value) >= 10 and any(c in "!@#$%^&*?~" for c in value)
+    return digit and (upper or lower) or upper and lower and (marked or len(value) >= 20) or digit and len(value) >= 12
 
 
 def _dense(value: str) -> bool:
@@ -199,19 +256,26 @@ def _spans_of(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int, st
                 lo = end - 2
                 while lo > 0 and _SCHEME.match(text[lo - 1]):
                     lo -= 1
-                m = GRAMMAR["url"].match(text, end + 1) if re.search("[A-Za-z]", text[lo : end - 2]) else None
-                if m and not _PLACEHOLDER.search(m.group(2)) and not _PATTERN.search(m.group(2)) and len(m.group(2)) >= 4 and not m.group(2).startswith("$"):
-                    spans.add((*m.span(2), kind))
+                span = body_span("url", text, lo, end + 1) if any(map(str.isalpha, text[lo : end - 2])) else None
+                v = text[slice(*span)] if span else ""
+                if len(v) >= 4 and not _PLACEHOLDER.search(v) and not _PATTERN.search(v) and not v.startswith("$"):
+                    spans.add((*span, kind))
             else:
                 for size in {len(w) for w in ANCHORS[kind]}:
                     start = end + 1 - size
-                    if start < past.get(kind, 0) or not (m := GRAMMAR[kind].match(text, start)):
+                    exact = text[start : end + 1]
+                    if start < past.get(kind, 0) or exact.lower() not in ANCHORS[kind] or not (span := body_span(kind, text, start, end + 1)):
                         continue
-                    v = m.group(1)
-                    ok = _basic_login(v) if kind == "basic" else not _PLACEHOLDER.search(v) and len(set(v)) >= 6 and (kind != "bearer" or any(c.isdigit() for c in v))
+                    v = text[slice(*span)]
+                    if kind == "basic":
+                        ok = _basic_login(v)
+                    elif kind in ("login", "flag"):
+                        ok = plausible(v) and not _CODE_NAME.match(v)
+                    else:
+                        ok = not _PLACEHOLDER.search(v) and len(set(v)) >= 6 and (kind != "bearer" or any(c.isdigit() for c in v)) and (kind not in _CASED or exact in _CASED[kind])
                     if ok:
-                        spans.add((*m.span(1), kind))
-                        past[kind] = m.end(1)
+                        spans.add((*span, kind))
+                        past[kind] = span[1]
     for lo, hi in lines:
         for m in _QUERY.finditer(text, lo, hi):
             if names_a_credential(m.group(1), m.group(2)) and plausible(m.group(2)):

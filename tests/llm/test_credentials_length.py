@@ -43,3 +43,18 @@ def test_next_line_only_for_literals():
 def test_many_urls_and_anchors_stay_linear():
     text = "https://a.example/x Bearer eyJ ghp_ sk- " * 20_000
     assert cr.find_all([text]) == [[]]
+
+
+@pytest.mark.parametrize(
+    "before,secret,after",
+    [("curl -u ci:", "kcXsHZCvps89Fu", " https://a.example/x"), ("curl --user 'ci:", "kcXsHZCvps89Fu", "' https://a.example"), ("mysql -u root -p", "Jg4SFB85dyru", " db < dump.sql"), ("// staging pw is ", "SCO!5vwnebb2nQ7", " until then"), ('  "ldapBindPw": "', "3tloICsIt3!6S5j", '",'), ("PASSWD=", "ocIQSTbtem!LJMa", "")],
+)
+def test_logins_of_commands_and_notes(before, secret, after):
+    text = before + secret + after
+    (span,) = cr.find_all([text])[0]
+    assert text[span[0] : span[1]] == secret
+
+
+@pytest.mark.parametrize("text", ["curl -u $USER:$PASS https://a.example", "mkdir -p build/output-2024", "docker run -p 8080:8080 image", "ssh -p 2222 host", "the token is read before use", "curl -u user https://a.example/x1", "sort -u file:name"])
+def test_flags_that_hold_no_login(text):
+    assert cr.find_all([text]) == [[]]
