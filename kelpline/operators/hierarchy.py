@@ -5,7 +5,8 @@ their subtree sizes to their parents (aggregated before the shuffle, so a parent
 rows costs one row per map task). Because a node has one parent, whatever cannot be peeled is exactly
 the set of nodes on cycles. The reverse of the peel order then hands path, depth and root from
 parents to children. Once the unpeeled rest is at most ``tail_rows`` rows, that rest is finished in
-one bounded task; above the bound, rounds stay distributed.
+one task, which holds the rest and the way from a root to one node, however long its paths are; above
+the bound, rounds stay distributed. Cycles alone need no paths: peeling stops at what is left.
 
 Defined results: rows with a null id are no nodes; of rows that share an id the smallest
 (parent, name) counts, so exact copies merge; a parent that is not in the table ends the chain, and
@@ -66,54 +67,91 @@ def _edges(df: DataFrame, id_col: str, parent_col: str, name_col: str) -> DataFr
     )
 
 
+class _Rest:
+    """A bounded rest of the forest in one task: peeled, with its cycles."""
+
+    def __init__(self, batches: Iterator[pd.DataFrame]):
+        got = [b for b in batches if len(b)]
+        rest = pd.concat(got, ignore_index=True) if got else pd.DataFrame(columns=["node_id", "parent_id", "label", "parent_missing", "pending", "below"])
+        self.ids = rest.node_id.tolist()
+        self.parent = dict(zip(self.ids, (None if pd.isna(p) else int(p) for p in rest.parent_id)))
+        self.label, self.lost = dict(zip(self.ids, rest.label)), dict(zip(self.ids, rest.parent_missing))
+        self.below, pending = dict(zip(self.ids, rest.below.tolist())), dict(zip(self.ids, rest.pending.tolist()))
+        self.order: list[int] = []  # peeled nodes, leaves first
+        ready = [i for i in self.ids if pending[i] == 0]
+        while ready:
+            nxt = []
+            for i in ready:
+                self.order.append(i)
+                p = self.parent[i]
+                if p is not None:
+                    self.below[p] += self.below[i] + 1
+                    pending[p] -= 1
+                    if pending[p] == 0:
+                        nxt.append(p)
+            ready = nxt
+        peeled, self.cycle = set(self.order), {}
+        for i in self.ids:
+            if i not in peeled and i not in self.cycle:
+                ring, j = [i], self.parent[i]
+                while j != i:
+                    ring.append(j)
+                    j = self.parent[j]
+                self.cycle.update(dict.fromkeys(ring, min(ring)))
+
+    def rows(self) -> Iterator[tuple]:
+        """Rows of ``SCHEMA``. Trees are walked depth first: only the way from the root to the node is held."""
+        for i, least in self.cycle.items():
+            yield (i, self.parent[i], "cycle", least, None, None, None, None, None, bool(self.lost[i]))
+        kids: dict[int | None, list[int]] = {}
+        for i in self.order:
+            kids.setdefault(self.parent[i], []).append(i)
+        under = [(k, least) for i, least in self.cycle.items() for k in kids.get(i, [])]
+        while under:
+            i, least = under.pop()
+            yield (i, self.parent[i], "below_cycle", least, None, None, None, None, self.below[i], bool(self.lost[i]))
+            under.extend((k, least) for k in kids.get(i, []))
+        up: list[int] = []
+        names: list[str] = []
+        walk = [(i, 0) for i in kids.get(None, [])]
+        while walk:
+            i, depth = walk.pop()
+            del up[depth:], names[depth:]
+            names.append(self.label[i])
+            yield (i, self.parent[i], "tree", None, up[0] if up else i, depth, "/".join(names), list(up), self.below[i], bool(self.lost[i]))
+            up.append(i)
+            walk.extend((k, depth + 1) for k in kids.get(i, []))
+
+
+#: Ancestors and rows of an output batch of the last task.
+BATCH = 200_000
+
+
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Peels a bounded rest and assigns it top-down; the rest is closed upwards."""
-    got = [b for b in batches if len(b)]
-    if not got:
-        return
-    rest = pd.concat(got, ignore_index=True)
-    ids = rest.node_id.tolist()
-    parent = dict(zip(ids, (None if pd.isna(p) else int(p) for p in rest.parent_id)))
-    label, lost = dict(zip(ids, rest.label)), dict(zip(ids, rest.parent_missing))
-    pending, below = dict(zip(ids, rest.pending.tolist())), dict(zip(ids, rest.below.tolist()))
-    order, ready = [], [i for i in ids if pending[i] == 0]
-    while ready:
-        nxt = []
-        for i in ready:
-            order.append(i)
-            p = parent[i]
-            if p is not None:
-                below[p] += below[i] + 1
-                pending[p] -= 1
-                if pending[p] == 0:
-                    nxt.append(p)
-        ready = nxt
-    peeled = set(order)
-    done: dict[int, tuple] = {}
-    for i in ids:
-        if i not in peeled and i not in done:
-            ring, j = [], i
-            while j not in done and (not ring or j != i):
-                ring.append(j)
-                j = parent[j]
-            least = min(ring)
-            for j in ring:
-                done[j] = ("cycle", least, None, None, None, None)
-    for i in reversed(order):
-        p = parent[i]
-        if p is None:
-            done[i] = ("tree", None, i, 0, label[i], [])
-        else:
-            status, cycle, root, depth, path, up = done[p]
-            done[i] = ("tree", None, root, depth + 1, f"{path}/{label[i]}", [*up, p]) if status == "tree" else ("below_cycle", cycle, None, None, None, None)
-    for k in range(0, len(ids), 5_000):
-        part = ids[k : k + 5_000]
-        rows = [(i, parent[i], *done[i], None if done[i][0] == "cycle" else below[i], bool(lost[i])) for i in part]
+    """Peels a bounded rest and assigns it top-down."""
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=SCHEMA.names)
         for c in ("parent_id", "cycle_id", "root_id", "n_descendants"):
             out[c] = out[c].astype("Int64")
         out["depth"] = out["depth"].astype("Int32")
-        yield out
+        return out
+
+    rows, held = [], 0
+    for row in _Rest(batches).rows():
+        rows.append(row)
+        held += 1 + len(row[7] or ())
+        if held > BATCH:
+            yield frame(rows)
+            rows, held = [], 0
+    if rows:
+        yield frame(rows)
+
+
+def _finish_cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a bounded rest only the cycles: what cannot be peeled."""
+    rest = _Rest(batches)
+    yield pd.DataFrame({"cycle_id": list(rest.cycle.values()), "node_id": list(rest.cycle)}, dtype="int64")
 
 
 def _rings(rest: DataFrame) -> DataFrame:
@@ -127,28 +165,34 @@ def _rings(rest: DataFrame) -> DataFrame:
             return ptr.select("node_id", "least")
 
 
-def peel(df: DataFrame, id_col: str, parent_col: str, name_col: str, tail_rows: int = TAIL_ROWS) -> tuple[DataFrame, list[DataFrame]]:
-    """The assigned top part of the forest (with all cycle nodes), and the layers peeled before it, lowest first."""
+def peel(df: DataFrame, id_col: str, parent_col: str, name_col: str, tail_rows: int = TAIL_ROWS) -> tuple[DataFrame, list[DataFrame], bool]:
+    """(rest, layers, ends): the layers peeled, lowest first, and what is left; ``ends`` if that is cycles alone."""
     state = cut(_edges(df, id_col, parent_col, name_col))
     layers: list[DataFrame] = []
     while state.count() > tail_rows:
         leaves = state.where("pending = 0")
         if leaves.isEmpty():
-            least = _rings(state)
-            top = state.join(least, "node_id").select(
-                "node_id", "parent_id", F.lit("cycle").alias("status"), F.col("least").alias("cycle_id"), F.lit(None).cast("long").alias("root_id"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("array<bigint>").alias("ancestors"), F.lit(None).cast("long").alias("n_descendants"), "parent_missing"
-            )
-            return cut(top), layers
+            return state, layers, True
         mail = leaves.where("parent_id is not null").groupBy(F.col("parent_id").alias("to")).agg(F.count(F.lit(1)).alias("gone"), F.sum(F.col("below") + 1).alias("size"))
         layers.append(leaves)
         rest = state.where("pending > 0").join(mail, F.col("node_id") == F.col("to"), "left")
         state = cut(rest.select("node_id", "parent_id", "label", "parent_missing", (F.col("pending") - F.coalesce("gone", F.lit(0))).alias("pending"), (F.col("below") + F.coalesce("size", F.lit(0))).alias("below")))
-    return cut(state.coalesce(1).mapInPandas(_finish, SCHEMA)), layers
+    return state, layers, False
+
+
+def _top(rest: DataFrame, ends: bool) -> DataFrame:
+    """The rest assigned: its trees and cycles."""
+    if not ends:
+        return cut(rest.coalesce(1).mapInPandas(_finish, SCHEMA))
+    nothing = {"root_id": "long", "depth": "int", "path": "string", "ancestors": "array<bigint>", "n_descendants": "long"}
+    ring = rest.join(_rings(rest), "node_id").withColumns({"status": F.lit("cycle"), "cycle_id": F.col("least"), **{c: F.lit(None).cast(t) for c, t in nothing.items()}})
+    return cut(ring.select(*SCHEMA.names))
 
 
 def build_hierarchy(df: DataFrame, id_col: str, parent_col: str, name_col: str, tail_rows: int = TAIL_ROWS) -> DataFrame:
     """One row per node, columns of ``SCHEMA``."""
-    top, layers = peel(df, id_col, parent_col, name_col, tail_rows)
+    rest, layers, ends = peel(df, id_col, parent_col, name_col, tail_rows)
+    top = _top(rest, ends)
     if not layers:
         return top
     spark, last = df.sparkSession, len(layers)
@@ -189,5 +233,7 @@ def descendants(tree: DataFrame) -> DataFrame:
 
 def cycle_members(df: DataFrame, id_col: str, parent_col: str, name_col: str, tail_rows: int = TAIL_ROWS) -> DataFrame:
     """cycle_id (smallest id on the cycle) and node_id of every node that is its own ancestor."""
-    top, _ = peel(df, id_col, parent_col, name_col, tail_rows)
-    return top.where("status = 'cycle'").select("cycle_id", "node_id")
+    rest, _, ends = peel(df, id_col, parent_col, name_col, tail_rows)
+    if ends:
+        return _rings(rest).select(F.col("least").alias("cycle_id"), "node_id")
+    return rest.select("node_id", "parent_id", "label", "parent_missing", "pending", "below").coalesce(1).mapInPandas(_finish_cycles, "cycle_id bigint, node_id bigint")

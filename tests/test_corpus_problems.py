@@ -60,6 +60,19 @@ def test_cycles(spark, tail):
     assert got == {(0, i) for i in range(9)} | {(30, 30), (30, 31)}
 
 
+def test_long_chains(spark):
+    """A chain of 200,000 by the normal path: no cycle; a ring of as many: one. Paths of a chain of 3,000 are whole."""
+    chain = spark.range(200_000).selectExpr("id", "if(id = 0, null, id - 1) as parent", "'c' as name")
+    assert cycle_members(chain, "id", "parent", "name").count() == 0
+    ring = spark.range(200_000).selectExpr("id", "(id + 1) % 200000 as parent", "'c' as name")
+    got = cycle_members(ring, "id", "parent", "name").groupBy("cycle_id").count().collect()
+    assert [tuple(r) for r in got] == [(0, 200_000)]
+    tree = build_hierarchy(chain.where("id < 3000"), "id", "parent", "name")
+    last = tree.where("node_id = 2999").collect()[0]
+    assert (last.depth, last.root_id, len(last.ancestors), len(last.path)) == (2999, 0, 2999, 5999)
+    assert tree.selectExpr("sum(depth)").collect()[0][0] == 2999 * 3000 // 2
+
+
 def test_descendants_and_labels(spark):
     rows = [(1, None, "a", None), (2, 1, None, None), (3, 2, "c", None), (4, 77, "", None)]
     tree = build_hierarchy(spark.createDataFrame(rows, NODE), "id", "parent", "name")
