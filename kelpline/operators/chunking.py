@@ -33,49 +33,56 @@ def fixed_chunks(df: DataFrame, path: str, text: str, target: int = TARGET, over
 
 
 def split_semantic(ls: list[str]) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, type, content): functions and classes by brace depth, the text between them as blocks."""
-    held: list[str] = []
+    """(start, end, type, content): functions and classes, and the text between them as blocks.
+
+    Braces count on every line of the file, so what opens inside another brace ends where the outermost closes.
+    """
+
+    def part(lo: int, hi: int, kind: str) -> Iterator[tuple[int, int, str, str]]:
+        text = "\n".join(ls[lo:hi])
+        if kind == "Symbol" or text.strip():
+            yield lo + 1, hi, kind, text
+
     start, depth, inside = 0, 0, False
     for i, line in enumerate(ls):
         if not inside and _OPENS.search(line.strip()):
-            if any(x.strip() for x in held):
-                yield start + 1, i, "CodeBlock", "\n".join(held)
-            held, start, depth, inside = [], i, 0, True
-        held.append(line)
-        if inside:
-            depth += line.count("{") - line.count("}")
-            if depth == 0 and "}" in line:
-                yield start + 1, i + 1, "Symbol", "\n".join(held)
-                held, start, inside = [], i + 1, False
-    if any(x.strip() for x in held):
-        yield start + 1, len(ls), "CodeBlock", "\n".join(held)
+            yield from part(start, i, "CodeBlock")
+            start, inside = i, True
+        depth += line.count("{") - line.count("}")
+        if inside and not depth and "}" in line:
+            yield from part(start, i + 1, "Symbol")
+            start, inside = i + 1, False
+    yield from part(start, len(ls), "CodeBlock")
 
 
 def split_recursive(ls: list[str], target: int = TARGET, overlap: float = OVERLAP) -> Iterator[tuple[int, int, str, str]]:
-    """Blocks close at blank lines past half the target, or at the target, which keeps an overlap of lines."""
-    held: list[tuple[int, str]] = []
-    size = 0
+    """Blocks close at a blank line once they hold half the target, or at the target, which keeps an overlap of lines.
+
+    Sizes are bytes; other blank lines inside a block are left out, one before it belongs to it.
+    """
+    held: list[str] = []
+    size = first = 0
     for i, line in enumerate(ls):
-        if not line.strip():
-            if size >= target / 2:
-                yield held[0][0] + 1, held[-1][0] + 1, "CodeBlock", "\n".join(x for _, x in held)
-                held, size = [], 0
+        if held and not line.strip():
+            if size - 1 >= target // 2:
+                yield first + 1, i, "CodeBlock", "\n".join(held)
+                held, size, first = [], 0, i + 1
             continue
-        held.append((i, line))
+        held.append(line)
         size += len(line.encode()) + 1
         if size >= target:
-            yield held[0][0] + 1, held[-1][0] + 1, "CodeBlock", "\n".join(x for _, x in held)
+            yield first + 1, i + 1, "CodeBlock", "\n".join(held)
             keep = int(len(held) * overlap)
-            held = held[len(held) - keep :] if keep else []
-            size = sum(len(x.encode()) + 1 for _, x in held)
+            held = held[len(held) - keep :]
+            size, first = sum(len(x.encode()) + 1 for x in held), i - keep + 1
     if held:
-        yield held[0][0] + 1, held[-1][0] + 1, "CodeBlock", "\n".join(x for _, x in held)
+        yield first + 1, len(ls), "CodeBlock", "\n".join(held)
 
 
 def _by_machine(df: DataFrame, path: str, text: str, split: Callable[[list[str]], Iterator[tuple[int, int, str, str]]]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, k, *c) for p, t in zip(b["path"], b["text"]) for k, c in enumerate(split(t.removesuffix("\n").split("\n")))]
+            rows = [(p, k, *c) for p, t in zip(b["path"], b["text"]) for k, c in enumerate(split([x.removesuffix("\r") for x in t.removesuffix("\n").split("\n")]))]
             if rows:
                 yield pd.DataFrame(rows, columns=["path", "chunk_no", "start_line", "end_line", "chunk_type", "content"])
 

@@ -20,6 +20,12 @@ def embeddings_with_paths(embeddings: DataFrame, symbols: DataFrame, files: Data
     return e.withColumn("of_file", F.coalesce("file_id", "s_file")).join(f, F.col("of_file") == F.col("f_id"), "left").drop("s_id", "s_file", "f_id", "of_file")
 
 
+def embeddings_of_files(embeddings: DataFrame, files: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """The embeddings stored for files themselves, each with its path: of the files named, or of all."""
+    of = files if paths is None else files.where(F.col("path").isin(paths))
+    return embeddings.join(of.select(F.col("id").alias("file_id"), "path"), "file_id")
+
+
 def vector_top_k(embeddings: DataFrame, query: list[float], limit: int, least: float | None = None, paths: list[str] | None = None, types: list[str] | None = None, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """Exact cosine top-k: threshold, path and type filters below the sort; non-finite scores are dropped."""
     rows = embeddings
@@ -35,7 +41,7 @@ def vector_top_k(embeddings: DataFrame, query: list[float], limit: int, least: f
     return scored.select(*keep, "similarity").orderBy(F.col("similarity").desc(), *keep).limit(limit)
 
 
-def fuse(keyword: DataFrame, semantic: DataFrame, limit: int, k: int = 60, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
+def fuse(keyword: DataFrame, semantic: DataFrame, limit: int | None, k: int = 60, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (path, line_number, content, rank); keyword content wins."""
     parts = []
     for side, df, w in (("Keyword", keyword, weights[0]), ("Semantic", semantic, weights[1])):
@@ -46,6 +52,8 @@ def fuse(keyword: DataFrame, semantic: DataFrame, limit: int, k: int = 60, weigh
         F.when(F.count(F.lit(1)) > 1, "Hybrid").otherwise(F.min("side")).alias("match_type"),
         F.min_by("content", F.struct("side", "rank")).alias("content"),
     )
+    if limit is None:
+        return merged
     return merged.orderBy(F.col("score").desc(), F.col("path").asc_nulls_last(), F.col("line_number").asc_nulls_last()).limit(limit)
 
 
@@ -71,9 +79,12 @@ def find_symbols(symbols: DataFrame, files: DataFrame, name: str, fuzzy: bool =
     return symbols.where(hit).join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
 
 
-def outline(symbols: DataFrame, files: DataFrame, path: str) -> DataFrame:
-    of = files.where(F.col("path") == path).select(F.col("id").alias("file_id"))
-    return symbols.distinct().join(of, "file_id").orderBy("start_line", "id")
+def outline(symbols: DataFrame, files: DataFrame, path: str | None = None) -> DataFrame:
+    """Symbols in document order with their place in the file: of one file, sorted, or of all files."""
+    of = files if path is None else files.where(F.col("path") == path)
+    placed = symbols.distinct().join(of.select(F.col("id").alias("file_id"), "path"), "file_id")
+    placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("file_id").orderBy(F.col("start_line").asc_nulls_first(), "id")))
+    return placed if path is None else placed.orderBy("place")
 
 
 def index_stats(files: DataFrame, symbols: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -163,6 +163,17 @@ def _(s, d):
     return contents(s, d).withColumnRenamed("text", "content").select("path", context.item_text("markdown").alias("item"))
 
 
+@q("K22_context_plain", "WITH " + _CONTENTS + " SELECT path, '// ' || path || chr(10) || text || chr(10) AS item FROM contents")
+def _(s, d):
+    return contents(s, d).withColumnRenamed("text", "content").select("path", context.item_text("plain").alias("item"))
+
+
+@q("F06_embeddings_of_files", "SELECT DISTINCT f.path, e.id, e.symbol_id FROM chunk_embeddings e JOIN files f ON f.id = e.file_id")
+def _(s, d):
+    found = retrieval.embeddings_of_files(chunks(s, d), files(s, d))
+    return found.select("path", "id", "symbol_id")
+
+
 @q("H24_hit_line", "SELECT hit_id, min(path || ':' || line_number || ': ' || trim(content)) AS line FROM search_hits WHERE path IS NOT NULL AND line_number IS NOT NULL AND content IS NOT NULL GROUP BY 1")
 def _(s, d):
     h = table(s, d, "search_hits").where("path is not null and line_number is not null and content is not null")
@@ -368,9 +379,14 @@ def _(s, d):
     return retrieval.fuse(side(1), side(2), 40).select("path", "line_number", F.round("score", 8).alias("score"), "match_type")
 
 
-@q("J04_key_merge", f"SELECT path, line_number::BIGINT AS line_number, count(*) AS n FROM {_HITS} GROUP BY 1, 2")
+@q("J04_key_merge", f"""WITH r AS (SELECT query_id, path, line_number, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS r FROM {_HITS} WHERE query_id IS NOT NULL AND score IS NOT NULL),
+u AS (SELECT path, line_number, CASE WHEN query_id % 2 = 0 THEN 'Keyword' ELSE 'Semantic' END AS side, 0.5 / (60 + r) AS p FROM r)
+SELECT path, line_number::BIGINT AS line_number, round(sum(p), 8) AS score, CASE WHEN count(*) > 1 THEN 'Hybrid' ELSE min(side) END AS match_type FROM u GROUP BY 1, 2""")
 def _(s, d):
-    return table(s, d, "search_hits").distinct().groupBy("path", long("line_number")).agg(F.count(F.lit(1)).alias("n"))
+    hits = table(s, d, "search_hits").distinct().where("score is not null and query_id is not null")
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "hit_id")))
+    merged = retrieval.fuse(ranked.where("query_id % 2 = 0"), ranked.where("query_id % 2 = 1"), None)
+    return merged.select("path", "line_number", F.round("score", 8).alias("score"), "match_type")
 
 
 @q("T09_top_k_per_group", f"SELECT query_id, hit_id, rank FROM (SELECT query_id, hit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS rank FROM {_HITS} WHERE query_id IS NOT NULL AND score IS NOT NULL) WHERE rank <= 3")
@@ -379,12 +395,14 @@ def _(s, d):
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "hit_id"))).where("rank <= 3").select("query_id", "hit_id", long("rank"))
 
 
-_FACTORS = "(SELECT path, avg(coalesce(user_focus, 0)) AS user_focus, count(*) % 7 / 7.0 AS recency, count(*) % 5 / 5.0 AS relevance, count(*) % 3 / 3.0 AS centrality, count(*) % 2 / 2.0 AS git_activity FROM file_scores GROUP BY 1)"
+_FACTOR_NAMES = ["recency", "relevance", "centrality", "git_activity", "user_focus"]
+_FACTORS = "(SELECT path, " + ", ".join(f"least(greatest(coalesce(max({c}::DOUBLE), 0), 0), 1) AS {c}" for c in _FACTOR_NAMES) + " FROM file_scores GROUP BY 1)"
 
 
 def _factors(s, d):
-    n = F.count(F.lit(1))
-    return table(s, d, "file_scores").groupBy("path").agg(F.avg(F.coalesce(F.col("user_focus").cast("double"), F.lit(0.0))).alias("user_focus"), (n % 7 / 7).alias("recency"), (n % 5 / 5).alias("relevance"), (n % 3 / 3).alias("centrality"), (n % 2 / 2).alias("git_activity"))
+    """The best of a path's scores over all queries, as factors between 0 and 1."""
+    best = [F.least(F.greatest(F.coalesce(F.max(F.col(c).cast("double")), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias(c) for c in _FACTOR_NAMES]
+    return table(s, d, "file_scores").groupBy("path").agg(*best)
 
 
 _SCORE = "0.25 * recency + 0.30 * relevance + 0.20 * centrality + 0.15 * git_activity + 0.10 * user_focus"
@@ -414,9 +432,9 @@ def _(s, d):
     return retrieval.pack_budget(docs, 8000, F.col("n_chars") % 97, F.col("text"), F.col("doc_id"), F.coalesce(F.col("lang"), F.lit("none"))).withColumnRenamed("key", "doc_id")
 
 
-@q("T13_outline", "SELECT file_id, count(*) AS symbols, min(start_line)::BIGINT AS first_line, max(end_line)::BIGINT AS last_line FROM (SELECT DISTINCT id, file_id, start_line, end_line FROM symbols) GROUP BY 1")
+@q("T13_outline", "SELECT f.path, s.id, s.name, row_number() OVER (PARTITION BY s.file_id ORDER BY s.start_line NULLS FIRST, s.id) AS place FROM (SELECT DISTINCT id, file_id, name, start_line FROM symbols) s JOIN files f ON f.id = s.file_id")
 def _(s, d):
-    return symbols(s, d).groupBy("file_id").agg(F.count(F.lit(1)).alias("symbols"), F.min("start_line").cast("bigint").alias("first_line"), F.max("end_line").cast("bigint").alias("last_line"))
+    return retrieval.outline(symbols(s, d), files(s, d)).select("path", "id", "name", long("place"))
 
 
 @q("T17_find_symbol", "SELECT DISTINCT s.id, s.name, f.path FROM symbols s JOIN files f ON s.file_id = f.id WHERE s.name ILIKE '%cache%' AND lower(s.kind) = 'function' AND lower(s.visibility) = 'public'")
@@ -577,30 +595,36 @@ def _(s, d):
     return extract_symbols(contents(s, d), "path", "language", "text").select("path", "error", "ordinal", "name", "kind", "start_line", "end_line", "visibility", "parent_name")
 
 
-def manifest_texts(s, d, name, example):
-    """The documents of that name in the tables, and ``example``, whose rows are those of the SQL."""
-    named = contents(s, d).where(F.substring_index("path", "/", -1) == name).select("text")
-    return named.unionByName(s.createDataFrame([(example,)], "text string"))
+def manifest_texts(s, d, name):
+    """The documents of that name in the tables."""
+    return contents(s, d).where(F.substring_index("path", "/", -1) == name).select("text")
 
 
 @q("S20_cargo")
 def _(s, d):
-    return manifests.cargo(contents(s, d).where(F.col("path").like("%Cargo.toml")), "text").unionByName(manifests.cargo(s.createDataFrame([('[dependencies]\na = "1"\nb = { version = "2" }\n[dev-dependencies]\nc = "3"\n',)], "text string")))
+    return manifests.cargo(manifest_texts(s, d, "Cargo.toml"))
+
+
+_NAMED = "WITH " + _CONTENTS + ", docs AS (SELECT text FROM contents WHERE regexp_extract(path, '[^/]*$') = '{}')"
 
 
-@q("S21_package_json", "SELECT * FROM (VALUES ('a', '^1', 'Runtime', 'Npm'), ('b', '2', 'Development', 'Npm'), ('c', NULL, 'Peer', 'Npm')) t(name, version, dep_type, source)")
+@q("S21_package_json", _NAMED.format("package.json") + """, j AS (SELECT TRY_CAST(text AS JSON) AS j FROM docs),
+p AS (SELECT j -> '$.dependencies' AS m, 'Runtime' AS t FROM j UNION ALL SELECT j -> '$.devDependencies', 'Development' FROM j UNION ALL SELECT j -> '$.peerDependencies', 'Peer' FROM j),
+e AS (SELECT t, unnest(map_entries(TRY_CAST(m AS MAP(VARCHAR, JSON)))) AS e FROM p WHERE json_type(m) = 'OBJECT')
+SELECT e.key AS name, CASE WHEN json_type(e.value) = 'VARCHAR' THEN e.value ->> '$' END AS version, t AS dep_type, 'Npm' AS source FROM e""")
 def _(s, d):
-    return manifests.package_json(manifest_texts(s, d, "package.json", '{"dependencies": {"a": "^1"}, "devDependencies": {"b": "2"}, "peerDependencies": {"c": {"x": 1}}}'))
+    return manifests.package_json(manifest_texts(s, d, "package.json"))
 
 
-@q("S22_requirements", "SELECT * FROM (VALUES ('a', '==1.0', 'Runtime', 'PyPi'), ('b ', '>= 2', 'Runtime', 'PyPi'), ('c', NULL, 'Runtime', 'PyPi')) t(name, version, dep_type, source)")
+@q("S22_requirements", _NAMED.format("requirements.txt") + r""", l AS (SELECT trim(regexp_replace(unnest(string_split(text, chr(10))), '\r$', '')) AS l FROM docs)
+SELECT regexp_extract(l, '^([^=><!~]*)', 1) AS name, nullif(regexp_extract(l, '^[^=><!~]*([=><!~].*)$', 1), '') AS version, 'Runtime' AS dep_type, 'PyPi' AS source FROM l WHERE l <> '' AND l NOT LIKE '#%' AND l NOT LIKE '-%'""")
 def _(s, d):
-    return manifests.requirements(manifest_texts(s, d, "requirements.txt", "# c\na==1.0\n\nb >= 2\n-r other\nc\n"))
+    return manifests.requirements(manifest_texts(s, d, "requirements.txt"))
 
 
-@q("S23_pyproject", "SELECT * FROM (VALUES ('a', '>=1', 'Runtime', 'PyPi'), ('b', '[x]==2', 'Runtime', 'PyPi'), ('c', '^3', 'Runtime', 'PyPi')) t(name, version, dep_type, source)")
+@q("S23_pyproject")
 def _(s, d):
-    return manifests.pyproject(manifest_texts(s, d, "pyproject.toml", '[project]\ndependencies = ["a>=1", "b[x]==2"]\n[tool.poetry.dependencies]\npython = "3"\nc = "^3"\n'))
+    return manifests.pyproject(manifest_texts(s, d, "pyproject.toml"))
 
 
 # streams

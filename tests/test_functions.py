@@ -155,6 +155,10 @@ def test_chunks(spark):
     assert [(s, e, k) for s, e, k, _ in chunking.split_semantic(code)] == [(1, 2, "CodeBlock"), (3, 6, "Symbol"), (7, 7, "Symbol"), (8, 9, "CodeBlock")]
     parts = list(chunking.split_recursive(["aaaa", "", "bbbbbbbb", "", "c"], target=16, overlap=0))
     assert [(s, e) for s, e, *_ in parts] == [(1, 3), (5, 5)]
+    nested = "impl A {\n  fn a() {\n  }\n  fn b() {\n  }\n}\nfn c() {}".split("\n")
+    assert [(s, e, k) for s, e, k, _ in chunking.split_semantic(nested)] == [(1, 1, "CodeBlock"), (2, 6, "Symbol"), (7, 7, "Symbol")]
+    assert [(s, e, t) for s, e, _, t in chunking.split_recursive(["", "aaaaaaa", "", "b"], target=16, overlap=0)] == [(1, 2, "\naaaaaaa"), (4, 4, "b")]
+    assert [(s, e) for s, e, *_ in chunking.split_recursive(["aaaa", "bbbb", "cccc", "dddd"], target=15, overlap=0.34)] == [(1, 3), (3, 4)]
     with pytest.raises(ValueError):
         chunking.chunks(df, "path", "text", "none")
 
