@@ -15,6 +15,7 @@ from kelpline.operators.cache import ResultCache
 from kelpline.operators.extract import extract_symbols
 from kelpline.sources import corpus as scan
 from kelpline.sources.config import Config
+from kelpline.streaming.changes import debounce_live, route
 
 
 class NotIndexed(RuntimeError):
@@ -37,12 +38,40 @@ class Corpus:
 
     def reindex(self, root: str, now: int | None = None) -> dict:
         """Scans, skips unchanged contents, prunes vanished files, and commits all tables at once."""
-        c, now = self.config.indexing, int(time.time()) if now is None else now
-        walked = scan.walk(self.spark, root, c.max_file_size, c.include_types, c.ignore_patterns)
+        c = self.config.indexing
+        ignore = scan.ignore_globs(self.spark, root, c.ignore_patterns)
+        walked = scan.walk(self.spark, root, c.max_file_size, c.include_types, ignore)
         read = scan.read_files(walked).where("error is null")
+        return self._index(read, tables.vanished_files(self.store.read("files"), read).select("path"), now)
+
+    def index_files(self, root: str, paths: list[str], now: int | None = None) -> dict:
+        """Brings the named files of a folder up to date: new and changed ones are indexed, vanished ones removed."""
+        c = self.config.indexing
+        ignore = scan.ignore_globs(self.spark, root, c.ignore_patterns)
+        read = scan.read_files(scan.read_paths(self.spark, root, paths, c.max_file_size, c.include_types, ignore)).where("error is null")
+        named = self.spark.createDataFrame([(p,) for p in paths], "path string")
+        known = self.store.read("files").join(named, "path", "left_semi")
+        return self._index(read, tables.vanished_files(known, read).select("path"), now)
+
+    def apply_changes(self, root: str, routed: DataFrame, now: int | None = None) -> dict:
+        """Consumes a batch of routed events (path, kind, action): what is to be indexed or removed is, the rest waits."""
+        act = routed.where(F.col("action") != "Ignore").select("path").distinct()
+        return self.index_files(root, [r["path"] for r in act.collect()], now)  # the paths of one micro-batch
+
+    def watch(self, root: str, events: DataFrame, access_log, checkpoint: str):
+        """Indexes a stream of change events: bursts are held until they are quiet, whatever micro-batches they span."""
+        held = debounce_live(events)
+
+        def step(batch: DataFrame, batch_id: int) -> None:
+            if not batch.isEmpty():
+                self.apply_changes(root, route(batch.withColumn("ts", F.current_timestamp()), access_log()))
+
+        return held.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
+
+    def _index(self, read: DataFrame, gone: DataFrame, now: int | None) -> dict:
+        c, now = self.config.indexing, int(time.time()) if now is None else now
         old = {n: self.store.read(n) for n in ("files", "symbols", "embeddings", "lines")}
         new = tables.changed_files(old["files"], read).persist()
-        gone = tables.vanished_files(old["files"], read).select("path")
         clean = tables.delete_files(old, gone.unionByName(new.join(old["files"].select("path"), "path", "left_semi").select("path")))
         pruned = old["files"].join(gone, "path", "left_anti")
         files = tables.upsert_files(pruned, new.select("path", "hash", "modified_at", "size", "language"), now)

@@ -14,7 +14,7 @@ from kelpline.functions.paths import extension
 from kelpline.functions.text import cache_key, chunk_type, content_hash, duration, fence_tag, language_of_extension, normalise_query, relative_path, signature_line, token_estimate, visibility
 from kelpline.operators import chunking, context, retrieval, search, tables
 from kelpline.operators.numbering import global_rank
-from kelpline.runtime import table
+from kelpline.runtime import scratch, table
 from kelpline.sources import manifests
 from kelpline.streaming import changes, results
 
@@ -331,6 +331,13 @@ def _(s, d):
     return search.bm25(search.text_lines(contents(s, d), "path", "text"), "error checksum", 50).select("path", "line_number", F.round("score", 4).alias("score"))
 
 
+@q("T01_bm25_indexed", ORACLE["T01_bm25"])
+def _(s, d):
+    lines, where = search.text_lines(contents(s, d), "path", "text"), scratch(s, "postings")
+    search.write_postings(lines, where)
+    return search.bm25_indexed(lines, where, "error checksum", 50).select("path", "line_number", F.round("score", 4).alias("score"))
+
+
 @q("T18_grep", "WITH " + _BM25 + " SELECT path, line_number, trim(content) AS content FROM sc ORDER BY score DESC, path, line_number LIMIT 50")
 def _(s, d):
     return search.bm25(search.text_lines(contents(s, d), "path", "text"), "error checksum", 50).select("path", "line_number", F.trim("content").alias("content"))
