@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -146,4 +145,4 @@ class Corpus:
         return not self.store.read("embeddings").isEmpty()
 
     def index_dir_size(self) -> int:
-        return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(self.store.local) for f in fs)
+        return self.store.files.size("")

@@ -10,7 +10,6 @@ no cell and are never found.
 from __future__ import annotations
 
 import json
-import os
 
 import numpy as np
 import pandas as pd
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions.vectors import cosine, given_or_quantised, norm, normalise
+from kelpline.runtime import SharedFiles
 
 SAMPLE, LEAST_ROWS = 50_000, 1_000
 #: Cells read before the bound is known.
@@ -64,17 +64,15 @@ class VectorIndex:
         model = KMeans(k=max(2, cells), seed=seed, maxIter=10).fit(sample)
         placed = model.transform(unit.withColumn("features", array_to_vector("_u"))).withColumnRenamed("prediction", "cell").drop("features")
         placed.drop("_u").write.mode("overwrite").partitionBy("cell").parquet(f"{home}/rows")
-        local = home.removeprefix("file://")
         centroids = np.stack(model.clusterCenters())
         far = _radii(placed, centroids)
-        with open(f"{local}/index.json", "w") as f:
-            json.dump({"centroids": centroids.tolist(), "radii": [far.get(c, -1.0) for c in range(len(centroids))], "rows": n, "checksum": stats["c"], "vec": vec}, f)
+        meta = {"centroids": centroids.tolist(), "radii": [far.get(c, -1.0) for c in range(len(centroids))], "rows": n, "checksum": stats["c"], "vec": vec}
+        SharedFiles(spark, home).write("index.json", json.dumps(meta))
         return cls.load(spark, home)
 
     @classmethod
     def load(cls, spark: SparkSession, home: str) -> VectorIndex:
-        with open(f"{home.removeprefix('file://')}/index.json") as f:
-            meta = json.load(f)
+        meta = json.loads(SharedFiles(spark, home).read("index.json"))
         out = cls(spark, home, np.asarray(meta["centroids"]), meta["rows"], meta["checksum"], np.asarray(meta.get("radii") or [np.inf] * len(meta["centroids"])))
         out.vec = meta["vec"]
         return out
@@ -88,12 +86,8 @@ class VectorIndex:
         # wider radii are stored first: a failed append leaves the bound valid
         for cell, far in _radii(placed, self.centroids).items():
             self.radii[cell] = max(self.radii[cell], far)
-        local = f"{self.home.removeprefix('file://')}/index.json"
-        with open(local) as f:
-            meta = json.load(f)
-        with open(f"{local}.tmp", "w") as f:
-            json.dump(meta | {"radii": self.radii.tolist()}, f)
-        os.replace(f"{local}.tmp", local)
+        files = SharedFiles(self.spark, self.home)
+        files.write("index.json", json.dumps(json.loads(files.read("index.json")) | {"radii": self.radii.tolist()}))
         placed.drop("_u").write.mode("append").partitionBy("cell").parquet(f"{self.home}/rows")
 
     def _top(self, query: list[float], k: int, cells: list[int], keep: tuple[str, ...]) -> DataFrame:
@@ -129,4 +123,4 @@ class VectorIndex:
         return (s["n"], s["c"]) == (self.rows, self.checksum)
 
     def clear(self) -> None:
-        os.remove(f"{self.home.removeprefix('file://')}/index.json")
+        SharedFiles(self.spark, self.home).remove("index.json")

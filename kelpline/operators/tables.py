@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kelpline.runtime import SharedFiles
+
 FILES = "id bigint, path string, hash string, modified_at bigint, size bigint, language string, priority_score double, last_accessed bigint, indexed_at bigint"
 SYMBOLS = "id bigint, file_id bigint, name string, kind string, start_line int, end_line int, signature string, doc_comment string, visibility string, is_async boolean, is_static boolean, is_abstract boolean, is_exported boolean, is_const boolean, is_unsafe boolean, parent_symbol_id bigint, type_parameters array<string>, parameters array<struct<name:string,type:string>>, return_type string"
 EMBEDDINGS = "id bigint, symbol_id bigint, file_id bigint, chunk_text string, embedding array<float>, chunk_type string, embedding_quantized array<tinyint>, embedding_min float, embedding_scale float"
@@ -86,15 +87,10 @@ class Store:
 
     def __init__(self, spark: SparkSession, home: str):
         self.spark, self.home = spark, home.rstrip("/")
-        self.local = self.home.removeprefix("file://")
-        os.makedirs(self.local, exist_ok=True)
+        self.files = SharedFiles(spark, self.home)
 
     def _pointer(self) -> dict:
-        path = f"{self.local}/CURRENT"
-        if not os.path.exists(path):
-            return {"version": 0, "tables": {}}
-        with open(path) as f:
-            return json.load(f)
+        return json.loads(self.files.read("CURRENT")) if self.files.exists("CURRENT") else {"version": 0, "tables": {}}
 
     @property
     def version(self) -> int:
@@ -106,14 +102,19 @@ class Store:
 
     def write(self, tables: dict[str, DataFrame]) -> int:
         now = self._pointer()
-        version = now["version"] + 1
+        held, version = set(now["tables"].values()), now["version"] + 1
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.home}/v{version}/{name}")
             now["tables"][name] = f"v{version}/{name}"
         now["version"] = version
-        with open(f"{self.local}/CURRENT.tmp", "w") as f:
-            json.dump(now, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(f"{self.local}/CURRENT.tmp", f"{self.local}/CURRENT")
+        self.files.write("CURRENT", json.dumps(now))
+        # readers of the version before may still be at work; what is older goes
+        held |= set(now["tables"].values())
+        for folder in self.files.names(""):
+            if folder.startswith("v"):
+                for name in self.files.names(folder):
+                    if f"{folder}/{name}" not in held:
+                        self.files.remove(f"{folder}/{name}")
+                if not self.files.names(folder):
+                    self.files.remove(folder)
         return version

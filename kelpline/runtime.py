@@ -26,10 +26,15 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset and all runs on one machine."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if root is None:
+        known = sc._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            return known.get().rstrip("/")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = getattr(shared_dir, "local", None)
         if root is None or not os.path.isdir(root):
             root = shared_dir.local = tempfile.mkdtemp(prefix="kelpline-")
@@ -89,6 +94,10 @@ class SharedFiles:
         if not self.fs.rename(aside, self._path(name)):
             raise OSError(f"cannot put {name} in place")
 
+    def size(self, name: str) -> int:
+        """Bytes of all files below."""
+        return self.fs.getContentSummary(self._path(name)).getLength() if self.exists(name) else 0
+
     def remove(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 

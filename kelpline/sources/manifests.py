@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpline.runtime import SharedFiles
+
 SCHEMA = "name string, version string, dep_type string, source string"
 
 
@@ -92,10 +94,9 @@ READERS = {"Cargo.toml": cargo, "package.json": package_json, "requirements.txt"
 
 def project_dependencies(spark: SparkSession, root: str) -> DataFrame:
     """All manifests in the project root, in the order of ``READERS``."""
-    import os
-
+    files = SharedFiles(spark, root)
     out = spark.createDataFrame([], SCHEMA)
     for name, reader in READERS.items():
-        if os.path.exists(f"{root.removeprefix('file://')}/{name}"):
+        if files.exists(name):
             out = out.unionByName(reader(spark.read.text(f"{root}/{name}", wholetext=True).withColumnRenamed("value", "text")))
     return out
