@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -38,7 +40,7 @@ CLAUSE_WORDS = 4
 BATCH_CHARS = 2_000_000
 _UPPER, _LOWER = "A-ZÄÖÜÉÁÍÓÚÑ", "a-zäöüßéáíóúñ"
 #: Blanks and one letter; CamelCase tags are read word by word.
-_LETTER = re.compile(rf"(\s*)(https?://|[{_UPPER}]?[{_LOWER}]+(?=[{_UPPER}])|[^\W\d_]+?(?<=[{_LOWER}])(?=[{_UPPER}])|[^\W\d_]+|\d+|[^\w\s]|_)")
+_LETTER = re.compile(rf"(\s*+)(https?://|[{_UPPER}]?[{_LOWER}]++(?:(?=[{_UPPER}])|(?![^\W\d_]))|[^\W\d_]+?(?<=[{_LOWER}])(?=[{_UPPER}])|[^\W\d_]+|\d+|[^\w\s]|_)")
 #: A link address weighs as much as this many characters of text, however long it is.
 LINK_WEIGHT = 5.0
 _TECH = re.compile(
@@ -178,8 +180,8 @@ def units(text: str) -> Iterator[tuple[int, int]]:
 def read_letters(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(letters, starts, ends)."""
     found = _LETTER.findall(text)
-    names = [w for _, w in found]
-    gaps = np.fromiter((len(g) for g, _ in found), np.int64, len(found))
+    names = list(map(itemgetter(1), found))
+    gaps = np.fromiter(map(len, map(itemgetter(0), found)), np.int64, len(found))
     sizes = np.fromiter(map(len, names), np.int64, len(found))
     ends = np.cumsum(gaps + sizes)
     return names, ends - sizes, ends
@@ -197,17 +199,16 @@ def _phrase(rank: np.ndarray, pick: np.ndarray, weight: np.ndarray) -> tuple[flo
 
 def judge_all(texts: list[str | None]) -> list[tuple[float, float, float]]:
     """(coverage of the page by repeats, share of clauses, share of stuffing) in characters, page by page."""
-    numbers: dict[str, int] = {}
-    pages, flat = [], []
+    pages = []
     for k, text in enumerate(texts):
         names, starts, ends = read_letters(text or "")
-        if len(names) < LEAST_LETTERS:
-            continue
-        pages.append((k, text, starts, ends))
-        flat.append(np.fromiter((numbers.setdefault(x, len(numbers)) for x in names), np.int64, len(names)))
+        if len(names) >= LEAST_LETTERS:
+            pages.append((k, text, names, starts, ends))
     out = [(0.0, 0.0, 0.0)] * len(texts)
     if not pages:
         return out
+    numbers = {x: i for i, x in enumerate(dict.fromkeys(chain.from_iterable(names for _, _, names, _, _ in pages)))}
+    flat = [np.fromiter(map(numbers.__getitem__, names), np.int64, len(names)) for _, _, names, _, _ in pages]
     # case does not count, and every numeral is the same letter
     same: dict[str, int] = {}
     folded = np.fromiter((same.setdefault("#" if x[0].isdigit() else x.lower(), len(same)) for x in numbers), np.int64, len(numbers))
@@ -219,7 +220,7 @@ def judge_all(texts: list[str | None]) -> list[tuple[float, float, float]]:
     cover = covered(longest_repeats(levels))
     words, pairs = levels[0], levels[1] if len(levels) > 1 else np.arange(len(sequence))
     pos = 0
-    for (k, text, starts, ends), letters in zip(pages, flat):
+    for (k, text, _, starts, ends), letters in zip(pages, flat):
         here = slice(pos, pos + len(starts))
         pos += len(starts) + 1
         out[k] = _judge(text, alpha[letters], starts, ends, cover[here], words[here], pairs[here])
@@ -228,8 +229,8 @@ def judge_all(texts: list[str | None]) -> list[tuple[float, float, float]]:
 
 def _judge(text: str, alpha: np.ndarray, starts: np.ndarray, ends: np.ndarray, cover: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> tuple[float, float, float]:
     n, size = len(starts), (ends - starts).astype(float)
-    for m in _ADDRESS.finditer(text):
-        lo, hi = np.searchsorted(starts, m.start()), np.searchsorted(starts, m.end())
+    addresses = np.array([m.span() for m in _ADDRESS.finditer(text)], np.int64).reshape(-1, 2)
+    for lo, hi in np.searchsorted(starts, addresses).tolist():
         if hi > lo:
             size[lo:hi] *= min(1.0, LINK_WEIGHT / size[lo:hi].sum())
     found = list(units(text))
@@ -241,8 +242,8 @@ def _judge(text: str, alpha: np.ndarray, starts: np.ndarray, ends: np.ndarray, c
     stuffed = share((kind == LINK) & cover)
     bare, bare_covered = share(kind == BARE), share((kind == BARE) & cover)
     stuffed += bare if bare_covered >= BARE_COVERED * bare else bare_covered
-    clauses = len({int(np.searchsorted(starts, e)) for e, k in found if k == CLAUSE})
     if clause and share((kind == CLAUSE) & cover) >= CLAUSES_COVERED * clause:
+        clauses = len(np.unique(np.searchsorted(starts, [e for e, k in found if k == CLAUSE])))
         alpha = alpha & (kind == CLAUSE)
         both = alpha & np.r_[alpha[1:], False]
         filled, times = max(_phrase(words, alpha, size), _phrase(pairs, both, size + np.r_[size[1:], 0.0]))
