@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__
+from kelpline.plans import corpus_queries, reference_queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -48,5 +49,11 @@ def test_sql_agrees(spark, duck, name):
     assert a == b
 
 
+@pytest.mark.parametrize("name", [n for part in (corpus_queries, reference_queries) for n in part.QUERIES if n not in part.ORACLE])
+def test_queries_without_sql_run(spark, name):
+    df = __spark_entry__.queries()[name](spark, SF)
+    assert df.columns and df.count() >= 0
+
+
 def test_every_sql_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
