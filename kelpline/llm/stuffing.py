@@ -215,7 +215,12 @@ def judge_all(texts: list[str | None]) -> list[tuple[float, float, float]]:
     alpha = np.fromiter((x[0].isalpha() for x in numbers), bool, len(numbers))
     # every page its own letters, and one more behind it that no other page has
     base = len(same) + 1
-    sequence = np.concatenate([np.r_[folded[x] + i * base, i * base + base - 1] for i, x in enumerate(flat)])
+    sequence = np.empty(sum(len(x) + 1 for x in flat), np.int64)
+    pos = 0
+    for i, x in enumerate(flat):
+        np.add(folded[x], i * base, out=sequence[pos : pos + len(x)])
+        pos += len(x) + 1
+        sequence[pos - 1] = i * base + base - 1
     levels = suffix_levels(sequence)
     cover = covered(longest_repeats(levels))
     words, pairs = levels[0], levels[1] if len(levels) > 1 else np.arange(len(sequence))
@@ -234,8 +239,11 @@ def _judge(text: str, alpha: np.ndarray, starts: np.ndarray, ends: np.ndarray, c
         if hi > lo:
             size[lo:hi] *= min(1.0, LINK_WEIGHT / size[lo:hi].sum())
     found = list(units(text))
-    kind = np.repeat([k for _, k in found], np.diff(np.r_[0, np.searchsorted(starts, [e for e, _ in found])]))
-    kind = np.r_[kind, np.full(n - len(kind), BARE)]
+    upto = np.searchsorted(starts, np.fromiter((e for e, _ in found), np.int64, len(found)))
+    kind = np.full(n, BARE)
+    many = upto.copy()
+    many[1:] -= upto[:-1]
+    kind[: upto[-1]] = np.repeat(np.fromiter((k for _, k in found), np.int64, len(found)), many)
     chars = float(size.sum())
     share = lambda pick: float(size[pick].sum())
     clause = share(kind == CLAUSE)
