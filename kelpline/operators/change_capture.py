@@ -1,10 +1,11 @@
 """Only new or changed records, run by run: log-based change capture.
 
-A feed is a log split into ``partitions`` by key hash; a record's offset is its insert id, which rises
-with the batches. A run's batch plan is one offset range per partition: from the end its partition had
-when a run last succeeded (excluded) to the last offset among the batches the run sees. Plans are written
-to a shared folder before any work and read back from there; a run takes the records inside its ranges and
-no others, whatever their batch number says. A run that dies leaves its plan without a commit, and the
+A feed is a log split into ``partitions`` by key hash; a record's offset is its insert id. A run's batch
+plan is one offset range per partition, from the end its partition had when a run last succeeded to the
+last offset among the batches the run sees, and the last batch of either. Offsets need not rise with the
+batches: a run takes the records of its batches up to its end, but for those that the run before it had
+in its batches and offsets. Plans are written to a shared folder before any work and read back from there;
+a run takes what its plan holds and nothing else. A run that dies leaves its plan without a commit, and the
 next call replays that very plan before it plans anything new: a record that arrived in between lies
 beyond the plan's end and waits. The sink keeps one row per (run, key), that of the offset which decided,
 and a replay overwrites its own rows, so nothing is skipped or repeated.
@@ -46,7 +47,8 @@ def partition_of(partitions: int) -> Column:
 
 
 def offset_plan(log: DataFrame, runs: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
-    """(run_id, part, start, end) of every succeeded run: the offsets it takes from each partition, start excluded.
+    """(run_id, part, start, end, after, upto) of every succeeded run and partition: it takes the offsets up to ``end``
+    of the batches up to ``upto``, but for the offsets up to ``start`` of the batches up to ``after``.
 
     ``log`` is reduced to its last offset by (partition, batch) first; what a run sees ends at the
     greatest of those up to its ``last_batch_no``.
@@ -54,22 +56,23 @@ def offset_plan(log: DataFrame, runs: DataFrame, partitions: int = PARTITIONS) -
     done = runs.where("status = 'succeeded' and last_batch_no is not null").groupBy(F.col("run_id").cast("long").alias("run_id")).agg(F.max(F.col("last_batch_no").cast("int")).alias("batch_no"))
     ends = log.groupBy(partition_of(partitions).alias("part"), "batch_no").agg(F.max("insert_id").alias("end"))
     parts = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("part")
-    both = ends.withColumn("run_id", F.lit(None).cast("long")).unionByName(done.select(parts, "batch_no", F.lit(None).cast("long").alias("end"), "run_id"))
+    # a run never falls behind the batches and the end of a run before it
+    before = Window.partitionBy("part").orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1)
+    seen_by = done.select(parts, "run_id", "batch_no").withColumn("after", F.max("batch_no").over(before)).withColumn("batch_no", F.greatest("batch_no", "after"))
+    both = ends.unionByName(seen_by, allowMissingColumns=True)
     seen = Window.partitionBy("part").orderBy("batch_no", F.col("run_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs_of = both.withColumn("end", F.max("end").over(seen)).where("run_id is not null")
-    # a run never falls behind the end of a run before it
-    before = Window.partitionBy("part").orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1)
     start = F.max("end").over(before)
-    return runs_of.withColumn("start", start).where("end is not null and (start is null or end > start)").select("run_id", "part", "start", "end")
+    return runs_of.withColumn("start", start).where("end is not null and (after is null or batch_no > after)").select("run_id", "part", "start", "end", "after", F.col("batch_no").alias("upto"))
 
 
 def planned_records(log: DataFrame, plan: DataFrame, partitions: int, ranges: int) -> DataFrame:
-    """The records inside the ranges of a plan, each with the run that takes it; ``ranges`` is the number of its rows."""
-    plan = plan.select("run_id", "part", F.coalesce("start", F.lit(-(2**63))).alias("start"), "end")
+    """The records a plan holds, each with the run that takes it; ``ranges`` is the number of its rows."""
     if ranges <= PLAN_ROWS:
         plan = F.broadcast(plan)  # its size is known: it was written by this run
-    inside = (F.col("insert_id") > F.col("start")) & (F.col("insert_id") <= F.col("end"))
-    return log.withColumn("part", partition_of(partitions)).join(plan, "part").where(inside).drop("start", "end")
+    inside = (F.col("batch_no") <= F.col("upto")) & (F.col("insert_id") <= F.col("end"))
+    had = F.coalesce((F.col("batch_no") <= F.col("after")) & (F.col("insert_id") <= F.col("start")), F.lit(False))
+    return log.withColumn("part", partition_of(partitions)).join(plan, "part").where(inside & ~had).drop("start", "end", "after", "upto")
 
 
 def fold_changes(records: DataFrame) -> DataFrame:
@@ -129,12 +132,13 @@ class ChangeCapture:
     def plan(self, feed: DataFrame, run_id: int, last_batch_no: int) -> dict:
         """Writes the offset ranges ahead; at most ``partitions`` numbers reach the driver."""
         done = self.committed()
-        start = self._get("plans", done[-1])["end"] if done else {}
+        last = self._get("plans", done[-1]) if done else {"end": {}, "upto": None}
+        start, upto = last["end"], max(last_batch_no, last_batch_no if last["upto"] is None else last["upto"])
         seen = normalise_feed(feed).where(F.col("batch_no") <= last_batch_no).groupBy(partition_of(self.partitions).alias("part")).agg(F.max("insert_id").alias("end")).collect()
         end = dict(start)
         for r in seen:
             end[str(r["part"])] = max(r["end"], start.get(str(r["part"]), r["end"]))
-        body = {"run_id": run_id, "start": start, "end": end, "after": done[-1] if done else None}
+        body = {"run_id": run_id, "start": start, "end": end, "after": last["upto"], "upto": upto, "behind": done[-1] if done else None}
         self._put("plans", run_id, body)
         return body
 
@@ -149,13 +153,13 @@ class ChangeCapture:
 
     def _execute(self, feed: DataFrame, plan: dict, fail_at: str | None = None) -> None:
         run_id = plan["run_id"]
-        ranges = [(run_id, int(p), plan["start"].get(p), e) for p, e in plan["end"].items()]
-        plan_rows = self.spark.createDataFrame(ranges, "run_id bigint, part int, start bigint, end bigint")
+        ranges = [(run_id, int(p), plan["start"].get(p), e, plan["after"], plan["upto"]) for p, e in plan["end"].items()]
+        plan_rows = self.spark.createDataFrame(ranges, "run_id bigint, part int, start bigint, end bigint, after int, upto int")
         new = planned_records(normalise_feed(feed), plan_rows, self.partitions, len(ranges)).select("run_id", "path", "modified_at", "insert_id", "hash")
         old = self._state()
         if old is not None:
             known = old.join(new.select("path").distinct(), "path", "left_semi")
-            new = new.unionByName(known.select(F.lit(plan["after"]).cast("long").alias("run_id"), "path", "modified_at", "insert_id", "hash"))
+            new = new.unionByName(known.select(F.lit(plan["behind"]).cast("long").alias("run_id"), "path", "modified_at", "insert_id", "hash"))
         if fail_at == "before_sink":
             raise RuntimeError("run stopped before the sink")
         changed = fold_changes(new).where(F.col("run_id") == run_id)

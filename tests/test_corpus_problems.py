@@ -161,6 +161,21 @@ def test_offsets_decide_the_run_of_a_record(spark):
     assert got == {(1, "h3")}
 
 
+def test_offsets_that_fall_behind_the_batches(spark, tmp_path):
+    """Copies of a feed with ids behind one another: later batches of one copy have lower ids than the first of the next."""
+    feed = [(k * 1000 + i, b, f"{p[0]}{k}", h, m, x) for k in range(3) for i, b, p, h, m, x in random_feed(4) if p is not None]
+    rows, runs = spark.createDataFrame(feed, FEED), spark.createDataFrame(RUN_ROWS, RUNS)
+    want = brute_changes(feed, RUN_ROWS)
+    for partitions in (1, 64):
+        got = [(r.run_id, r.path) for r in changes_by_run(rows, runs, partitions).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    log = ChangeCapture(spark, str(tmp_path), partitions=2)
+    for run, last, status, _ in RUN_ROWS:
+        if status == "succeeded":
+            log.run(rows, run, last)
+    assert {(run, r.path) for run in log.committed() for r in log.changes(run).collect()} == want
+
+
 def test_state_is_folded_after_some_runs(spark, tmp_path, monkeypatch):
     from kelpline.operators import change_capture
 
